@@ -6,8 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokens
-from .shared import table
+from . import packing, store, tokens
+from .shared import new_path, table
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), 2048, 0, "byte_bpe_50k.json")
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-store")
+    store.write_store(table(spark, sf_dir, "documents"), path, "byte_bpe_50k.json", 2)
+    return store.read_store(spark, path)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +26,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_token_store": op4_token_store,
         "op7_token_counts": op7_token_counts,
     }
 
