@@ -178,10 +178,14 @@ def joined(spans: Column) -> Column:
 def digest(found: DataFrame) -> DataFrame:
     """Counts and digest of the spans that :func:`pii_spans` found."""
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     others = [c for c in found.columns if c != "spans"]
     return found.select(
         *others,
-        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in BASE_KINDS],
+        *[count(k) for k in BASE_KINDS],
         F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
