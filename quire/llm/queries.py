@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, html, packing, pii, quality, store, tokens
+from . import exact, html, language, packing, pii, quality, store, tokens
 from .shared import new_path, table
 
 
@@ -48,6 +48,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.pii_spans(table(spark, sf_dir, "documents")))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_token_counts": op7_token_counts,
         "op8_quality_rules": op8_quality_rules,
         "op9_pii": op9_pii,
+        "op10_language": op10_language,
     }
 
 
