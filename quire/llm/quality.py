@@ -76,7 +76,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, _space())) > 0)
     dup_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    counts = let(words(text), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r")))
+    counts = let(words(text), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r"), F.size(F.array_distinct(w)).alias("d")))
     found = docs.withColumn("_w", counts)
     return found.select(
         *docs.columns,
@@ -85,6 +85,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         F.when(F.instr(text, "\n") > 0, dup_lines).otherwise(0).cast("bigint").alias("n_dup_lines"),
         F.col("_w.r").cast("bigint").alias("n_repeat_words"),
+        F.col("_w.d").cast("bigint").alias("_distinct"),
         (F.length(text) - F.length(F.translate(text, "!|", ""))).cast("bigint").alias("_marks"),
         (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("bigint").alias("_capitals"),
     )
@@ -110,49 +111,70 @@ def rules() -> dict[str, Column]:
         "marks": vote(marks > 0.3, marks < 0.05),
         "capitals": vote(F.col("_capitals") > 0.4 * F.col("word_chars"), capitals < 0.5),
         "repeats": vote(repeat > 0.3, repeat < 0.05),
+        "variety": vote((F.col("_distinct") < 0.3 * n) & (n <= 2000), F.col("_distinct") >= 0.5 * n),
         "lines": vote(F.col("n_dup_lines") * 20 > n, F.col("n_dup_lines") == 0),
     }
 
 
-def fit(patterns: list[tuple[tuple, int]], k: int, rounds: int = 100, tolerance: float = 1e-9) -> tuple[float, list[list[dict]]]:
-    """EM over (votes of k rules, count): the share of good documents and, by rule and class, vote probabilities.
+#: Chances of the votes bad, good and none: of a good document, of junk by the rule for its kind, by other rules.
+START_GOOD, START_SEEN, START_OTHER = (0.005, 0.895, 0.1), (0.9, 0.02, 0.08), (0.1, 0.7, 0.2)
+#: Share of good documents at the start; documents of each class that the start counts for.
+START_SHARE, BELIEF = 0.8, 10.0
 
-    Each rule has a probability for each of its three outcomes given good or bad, with one
-    pseudo-count of belief that rules are right more often than not, so that "good" keeps its sense.
+
+class Voters:
+    """What the estimation found: shares of the classes and, by class and rule, chances of the votes.
+
+    Class 0 is good; class j is junk of the kind that rule j sees.  Kinds of junk differ, and most
+    rules see nothing wrong with most kinds, so one class for all would look good to almost all rules.
     """
-    outcomes = (0, 1, None)
-    share = 0.8
-    prior = [{0: (4.0, 1.0), 1: (1.0, 4.0), None: (1.0, 1.0)}] * k  # outcome -> pseudo-counts (bad, good)
-    chance = [[{o: p[o][c] / sum(p[x][c] for x in outcomes) for o in outcomes} for c in (0, 1)] for p in prior]
+
+    def __init__(self, shares: list[float], chances: list[list[tuple[float, float, float]]]):
+        self.shares, self.chances = shares, chances
+
+    def weights(self, votes: tuple) -> list[float]:
+        """Posterior of each class; a rule that abstains says nothing."""
+        logs = []
+        for share, chance in zip(self.shares, self.chances, strict=True):
+            logs.append(math.log(share) + sum(math.log(chance[j][v]) for j, v in enumerate(votes) if v is not None))
+        top = max(logs)
+        parts = [math.exp(x - top) for x in logs]
+        return [p / sum(parts) for p in parts]
+
+    def good(self, votes: tuple) -> float:
+        return self.weights(votes)[0]
+
+
+def fit(patterns: list[tuple[tuple, int]], k: int, rounds: int = 200, tolerance: float = 1e-9) -> Voters:
+    """Expectation-maximisation over (votes of k rules, count)."""
+    start = [[START_GOOD] * k, *[[START_SEEN if j == c else START_OTHER for j in range(k)] for c in range(k)]]
+    found = Voters([START_SHARE, *[(1 - START_SHARE) / k] * k], start)
     for _ in range(rounds):
-        total = [0.0, 0.0]
-        seen = [[dict.fromkeys(outcomes, 0.0) for _ in (0, 1)] for _ in range(k)]
+        size = [BELIEF * s for s in found.shares]
+        seen = [[[BELIEF * x for x in start[c][j]] for j in range(k)] for c in range(k + 1)]
         for votes, n in patterns:
-            good = posterior(votes, share, chance)
-            for c, w in ((0, n * (1 - good)), (1, n * good)):
-                total[c] += w
+            for c, w in enumerate(found.weights(votes)):
+                size[c] += n * w
                 for j, v in enumerate(votes):
-                    seen[j][c][v] += w
-        new = (total[1] + 4) / (sum(total) + 5)
-        chance = [[{o: (seen[j][c][o] + prior[j][o][c]) / (total[c] + sum(prior[j][x][c] for x in outcomes)) for o in outcomes} for c in (0, 1)] for j in range(k)]
-        moved, share = abs(new - share), new
+                    seen[c][j][2 if v is None else v] += n * w
+        total = sum(size)
+        new = Voters([s / total for s in size], [[tuple(x / sum(one) for x in one) for one in rule] for rule in seen])
+        moved = max(abs(a - b) for a, b in zip(new.shares, found.shares, strict=True))
+        found = new
         if moved < tolerance:
             break
-    return share, chance
-
-
-def posterior(votes: tuple, share: float, chance: list[list[dict]]) -> float:
-    """Probability of good; a rule that abstains says nothing."""
-    odds = math.log(share / (1 - share)) + sum(math.log(chance[j][1][v] / chance[j][0][v]) for j, v in enumerate(votes) if v is not None)
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+    return found
 
 
-def posterior_column(share: float, chance: list[list[dict]], names: list[str]) -> Column:
-    odds = F.lit(math.log(share / (1 - share)))
-    for j, name in enumerate(names):
-        weight = [math.log(chance[j][1][v] / chance[j][0][v]) for v in (0, 1)]
-        odds = odds + F.when(F.col(name) == 0, weight[0]).when(F.col(name) == 1, weight[1]).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+def posterior_column(found: Voters, names: list[str]) -> Column:
+    """Posterior of good from the columns that hold the rules' votes."""
+    logs = []
+    for share, chance in zip(found.shares, found.chances, strict=True):
+        x = F.lit(math.log(share))
+        for j, name in enumerate(names):
+            x = x + F.when(F.col(name) == 0, math.log(chance[j][0])).when(F.col(name) == 1, math.log(chance[j][1])).otherwise(0.0)
+        logs.append(x)
+    return 1 / sum((F.exp(x - logs[0]) for x in logs[1:]), F.lit(1.0))
 
 
 def judged(measured: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
@@ -160,8 +182,8 @@ def judged(measured: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     names = [f"_vote_{k}" for k in rules()]
     voted = measured.select("*", *[v.alias(f"_vote_{k}") for k, v in rules().items()])
     counted = voted.groupBy(*names).count().collect()  # at most 3 to the number of rules rows
-    share, chance = fit([(tuple(r)[:-1], r["count"]) for r in counted], len(names))
-    scored = voted.withColumn("posterior", posterior_column(share, chance, names)).withColumn("base_failed", base_failed())
+    found = fit([(tuple(r)[:-1], r["count"]) for r in counted], len(names))
+    scored = voted.withColumn("posterior", posterior_column(found, names)).withColumn("base_failed", base_failed())
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_from)).drop(*names)
 
 

@@ -5,11 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact, html, language, neardup, packing, pii, quality, store, tokens
+from . import exact, html, language, mixing, neardup, packing, pii, quality, store, tokens
 from .shared import new_path, table
 
 
+#: Domains by labels, and the share of tokens that each shall have.
+MIX_WEIGHTS = {"good": 0.8, "poor": 0.15, "toxic": 0.05}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, domain`` from the labels: toxic, or else good or poor by quality."""
+    labels = table(spark, sf_dir, "labels")
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), MIX_WEIGHTS)
+
+
 OP2_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
@@ -58,6 +74,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_token_store": op4_token_store,

@@ -51,16 +51,18 @@ def test_quality_measures(spark):
     assert sorted(r.doc_id for r in good.collect()) == sorted(r.doc_id for r in got if r.kept)
 
 
-def test_em_finds_who_is_right():
+def test_em_tells_kinds_of_junk_apart():
     rnd = random.Random(5)
-    votes = Counter()
+    votes, truth = Counter(), Counter()
     for _ in range(5000):
-        good = rnd.random() < 0.7
-        votes[tuple(None if rnd.random() < 0.2 else int(good if rnd.random() < a else not good) for a in (0.95, 0.9, 0.6))] += 1
-    share, chance = quality.fit(list(votes.items()), 3)
-    assert abs(share - 0.7) < 0.07
-    assert chance[0][1][1] > chance[2][1][1] and chance[1][0][0] > chance[2][0][0]
-    assert quality.posterior((1, 1, 0), share, chance) > 0.5 > quality.posterior((0, 0, 1), share, chance)
+        kind = rnd.choices([None, 0, 1, 2], [0.7, 0.15, 0.1, 0.05])[0]
+        own = tuple(None if rnd.random() < 0.1 else int(rnd.random() < (0.05 if j == kind else 0.97)) for j in range(3))
+        votes[own] += 1
+        truth[own] += kind is None
+    found = quality.fit(list(votes.items()), 3)
+    assert abs(found.shares[0] - 0.7) < 0.08
+    assert found.good((1, 1, 1)) > 0.9 and all(found.good(tuple(int(j != k) for j in range(3))) < 0.5 for k in range(3))
+    assert quality.fit([], 3).shares[0] == pytest.approx(quality.START_SHARE)
 
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
