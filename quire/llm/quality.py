@@ -86,7 +86,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.when(F.instr(text, "\n") > 0, dup_lines).otherwise(0).cast("bigint").alias("n_dup_lines"),
         F.col("_w.r").cast("bigint").alias("n_repeat_words"),
         F.col("_w.d").cast("bigint").alias("_distinct"),
-        (F.length(text) - F.length(F.translate(text, "!|", ""))).cast("bigint").alias("_marks"),
+        (F.length(text) - F.length(F.translate(text, "!", ""))).cast("bigint").alias("_marks"),
         (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("bigint").alias("_capitals"),
     )
 
