@@ -118,6 +118,9 @@ def rules() -> dict[str, Column]:
 
 #: Chances of the votes bad, good and none: of a good document, of junk by the rule for its kind, by other rules.
 START_GOOD, START_SEEN, START_OTHER = (0.005, 0.895, 0.1), (0.9, 0.02, 0.08), (0.1, 0.7, 0.2)
+#: A rule votes bad on this part of the good documents at most: else a rule that alone sees a kind of
+#: junk would be taken for one that is often wrong.
+MOST_WRONG = 0.01
 #: Share of good documents at the start; documents of each class that the start counts for.
 START_SHARE, BELIEF = 0.8, 10.0
 
@@ -146,7 +149,7 @@ class Voters:
 
 
 def fit(patterns: list[tuple[tuple, int]], k: int, rounds: int = 200, tolerance: float = 1e-9) -> Voters:
-    """Expectation-maximisation over (votes of k rules, count)."""
+    """Expectation-maximisation over (votes of k rules, count), with good rules held to ``MOST_WRONG``."""
     start = [[START_GOOD] * k, *[[START_SEEN if j == c else START_OTHER for j in range(k)] for c in range(k)]]
     found = Voters([START_SHARE, *[(1 - START_SHARE) / k] * k], start)
     for _ in range(rounds):
@@ -158,6 +161,8 @@ def fit(patterns: list[tuple[tuple, int]], k: int, rounds: int = 200, tolerance:
                 for j, v in enumerate(votes):
                     seen[c][j][2 if v is None else v] += n * w
         total = sum(size)
+        for own in seen[0]:
+            own[0] = min(own[0], MOST_WRONG / (1 - MOST_WRONG) * (own[1] + own[2]))
         new = Voters([s / total for s in size], [[tuple(x / sum(one) for x in one) for one in rule] for rule in seen])
         moved = max(abs(a - b) for a, b in zip(new.shares, found.shares, strict=True))
         found = new
