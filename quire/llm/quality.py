@@ -151,9 +151,10 @@ class Voters:
 def fit(patterns: list[tuple[tuple, int]], k: int, rounds: int = 200, tolerance: float = 1e-9) -> Voters:
     """Expectation-maximisation over (votes of k rules, count), with good rules held to ``MOST_WRONG``."""
     start = [[START_GOOD] * k, *[[START_SEEN if j == c else START_OTHER for j in range(k)] for c in range(k)]]
-    found = Voters([START_SHARE, *[(1 - START_SHARE) / k] * k], start)
+    shares = [START_SHARE, *[(1 - START_SHARE) / k] * k]
+    found = Voters(shares, start)
     for _ in range(rounds):
-        size = [BELIEF * s for s in found.shares]
+        size = [BELIEF * s for s in shares]
         seen = [[[BELIEF * x for x in start[c][j]] for j in range(k)] for c in range(k + 1)]
         for votes, n in patterns:
             for c, w in enumerate(found.weights(votes)):

@@ -62,6 +62,7 @@ def test_em_tells_kinds_of_junk_apart():
     found = quality.fit(list(votes.items()), 3)
     assert abs(found.shares[0] - 0.7) < 0.08
     assert found.good((1, 1, 1)) > 0.9 and all(found.good(tuple(int(j != k) for j in range(3))) < 0.5 for k in range(3))
+    quality.fit([((1, 1, 1), 10**9), ((0, 1, 1), 10**6)], 3)  # classes without documents keep their start
     assert quality.fit([], 3).shares[0] == pytest.approx(quality.START_SHARE)
 
 
