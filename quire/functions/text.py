@@ -26,6 +26,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once for a row, however often it is used, inside lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 @cache
 def _fold_table(form: str) -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """Characters below U+2000 that lose marks, what they become, and those that become several."""
@@ -107,8 +112,13 @@ def structural_punctuation(c: Column | str) -> Column:
 
 def shingles(words: Column, size: int = 3) -> Column:
     """Distinct runs of ``size`` words; none if there are fewer."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(F.size(words) >= size, F.array_distinct(runs)).otherwise(F.expr("cast(array() as array<string>)"))
+    none = F.expr("cast(array() as array<string>)")
+
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
+        return F.when(F.size(w) >= size, F.array_distinct(each)).otherwise(none)
+
+    return let(words, runs)
 
 
 def rough_sentences(c: Column | str) -> Column:
@@ -235,13 +245,13 @@ def extract_title(c: Column | str) -> Column:
 
 def is_subsequence(a: Column, b: Column) -> Column:
     """Whether the items of ``a`` stand in ``b`` in the same order."""
-    return F.aggregate(b, F.lit(0), lambda i, x: F.when(F.get(a, i) == x, i + 1).otherwise(i)) == F.size(a)
+    return let(a, lambda w: F.aggregate(b, F.lit(0), lambda i, x: F.when(F.get(w, i) == x, i + 1).otherwise(i)) == F.size(w))
 
 
 def token_similarity(a: Column, b: Column) -> Column:
     """Common distinct tokens over the larger number of distinct tokens."""
-    x, y = F.array_distinct(a), F.array_distinct(b)
-    return F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y), F.lit(1))
+    both = F.struct(F.array_distinct(a).alias("x"), F.array_distinct(b).alias("y"))
+    return let(both, lambda s: F.size(F.array_intersect(s["x"], s["y"])) / F.greatest(F.size(s["x"]), F.size(s["y"]), F.lit(1)))
 
 
 def strip_base64_prefix(c: Column | str) -> Column:

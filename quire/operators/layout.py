@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,17 +177,49 @@ def _cut(items: list[dict], depth: int) -> list[dict]:
 _FIELDS = ["block_idx", "type", "xmin", "ymin", "xmax", "ymax", "text"]
 
 
-def _pages(blocks: DataFrame, solve, schema: str) -> DataFrame:
-    """``solve(doc_id, page, blocks in input order)`` gives rows; pages are dealt out by key, one at a time in memory."""
-    keys = "doc_id long, page int"
+def grouped_rows(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[dict]]]:
+    """Rows of sorted batches by their first ``keys`` columns; a group may span batches."""
+    key, held = None, []
+    for b in batches:
+        names = b.schema.names
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:keys] != key:
+                if held:
+                    yield key, held
+                key, held = row[:keys], []
+            held.append(dict(zip(names, row, strict=True)))
+    if held:
+        yield key, held
+
+
+def by_page(rows: DataFrame, order: str, solve, schema: str) -> DataFrame:
+    """``solve(rows of a page in order)`` gives tuples; pages stream by, sorted, one at a time in memory."""
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    names = ["doc_id", "page", *[f[0] for f in fields]]
+    types = [pa.int64(), pa.int32(), *[kinds[f[1]] for f in fields]]
+
+    def run(batches):
+        out: list[tuple] = []
 
-    def run(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        items = [{k: (None if v is None or v != v else v) for k, v in r.items()} for r in d.sort_values("block_idx")[_FIELDS].to_dict("records")]
-        rows = [(*key, *r) for r in solve(items)]
-        return pd.DataFrame(rows, columns=["doc_id", "page", *[f.split()[0] for f in schema.split(", ")]])
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    ready = blocks.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), *_FIELDS)
-    return ready.groupBy("doc_id", "page").applyInPandas(run, f"{keys}, {schema}")
+        for key, items in grouped_rows(batches, 2):
+            out += [(*key, *r) for r in solve(items)]
+            if len(out) >= 10_000:
+                yield batch()
+                out = []
+        yield batch()
+
+    ready = rows.withColumns({"doc_id": F.col("doc_id").cast("long"), "page": F.col("page").cast("int")})
+    others = [c for c in ready.columns if c not in ("doc_id", "page")]
+    return ready.select("doc_id", "page", *others).repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", order).mapInArrow(run, f"doc_id long, page int, {schema}")
+
+
+def _pages(blocks: DataFrame, solve, schema: str) -> DataFrame:
+    return by_page(blocks.select("doc_id", "page", *_FIELDS), "block_idx", solve, schema)
 
 
 def order_blocks(blocks: DataFrame) -> DataFrame:
@@ -270,12 +303,11 @@ def assemble_pages(blocks: DataFrame) -> DataFrame:
         F.when(is_footnote(), footnote_markdown("text")).alias("note"), normalize_dialogue(heading_markdown()).alias("shown"),
     )
 
-    def run(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
-        items = [{k: (None if v is None or v != v else v) for k, v in r.items()} for r in d.sort_values("block_idx").to_dict("records")]
+    def solve(items: list[dict]) -> list[tuple]:
         lines, figures = page_lines(reading_order(items))
-        return pd.DataFrame([(*key, "\n\n".join(lines), len(figures))], columns=["doc_id", "page", "markdown", "n_figures"])
+        return [("\n\n".join(lines), len(figures))]
 
-    return ready.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, markdown string, n_figures int")
+    return by_page(ready, "block_idx", solve, "markdown string, n_figures int")
 
 
 def number_figures(pages: DataFrame) -> DataFrame:
@@ -293,9 +325,9 @@ def text_lines(items: DataFrame, tolerance: float = 3.0) -> DataFrame:
     Items come in input order, so lines depend on earlier ones: solved page by page.
     """
 
-    def run(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
+    def solve(items: list[dict]) -> list[tuple]:
         lines: list[dict] = []
-        for r in d.sort_values("item_idx").to_dict("records"):
+        for r in items:
             line = next((x for x in lines if abs(x["y"] - r["y"]) < tolerance), None)
             if line is None:
                 line = {"y": r["y"], "items": []}
@@ -304,11 +336,10 @@ def text_lines(items: DataFrame, tolerance: float = 3.0) -> DataFrame:
         rows = []
         for n, line in enumerate(sorted(lines, key=lambda x: -x["y"])):
             own = sorted(line["items"], key=lambda r: r["x"])
-            rows.append((*key, n, line["y"], max(r["size"] for r in own), re.sub(r"\s+", " ", " ".join(r["str"] for r in own)).strip()))
-        return pd.DataFrame(rows, columns=["doc_id", "page", "line_no", "y", "size", "text"])
+            rows.append((n, line["y"], max(r["size"] for r in own), re.sub(r"\s+", " ", " ".join(r["str"] for r in own)).strip()))
+        return rows
 
-    ready = items.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), "item_idx", "x", "y", "size", "str")
-    return ready.groupBy("doc_id", "page").applyInPandas(run, "doc_id long, page int, line_no int, y double, size double, text string")
+    return by_page(items.select("doc_id", "page", "item_idx", "x", "y", "size", "str"), "item_idx", solve, "line_no int, y double, size double, text string")
 
 
 def body_size(lines: DataFrame) -> DataFrame:

@@ -63,13 +63,14 @@ def normalize_heading_levels(docs: DataFrame, key: str = "doc_id", text: str = "
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     depths = F.array_sort(F.array_distinct(F.filter(F.transform(split, heading_depth), lambda d: d.isNotNull())))
 
-    def one(line: Column) -> Column:
-        level = F.array_position(depths, heading_depth(line))
+    def one(line: Column, ranks: Column) -> Column:
+        level = F.array_position(ranks, heading_depth(line))
         number = F.regexp_extract(line, r"^#{1,6}\s+\s*(\d+(?:\.\d+){0,5})[.)]?\s+", 1) != ""
         rest = F.when(number, F.concat(F.lit(" "), F.regexp_replace(line, HEADING, ""))).otherwise(F.regexp_replace(line, r"^#{1,6}", ""))
-        return F.when(level.isNull(), line).otherwise(F.concat(F.repeat(F.lit("#"), level.cast("int")), rest))
+        return F.when(~line.rlike(HEADING), line).otherwise(F.concat(F.repeat(F.lit("#"), level.cast("int")), rest))
 
-    return docs.select(key, F.array_join(F.transform(split, one), "\n").alias("text"))
+    joined = T.let(depths, lambda d: F.array_join(F.transform(split, lambda x: one(x, d)), "\n"))
+    return docs.select(key, joined.alias("text"))
 
 
 def enforce_heading_levels(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,13 +79,16 @@ def enforce_heading_levels(pairs: DataFrame, keys: list[str]) -> DataFrame:
     out = F.split(F.coalesce("output", F.lit("")), "\n")
     places = F.filter(F.transform(out, lambda x, i: F.when(x.rlike(r"^\s*=+\s"), i.cast("int"))), lambda i: i.isNotNull())
 
-    def one(line: Column, i: Column) -> Column:
-        k = F.array_position(places, i.cast("int"))
-        marks = F.repeat(F.lit("="), F.length(F.get(source, (k - 1).cast("int"))))
+    def one(line: Column, i: Column, own: Column) -> Column:
+        k = F.array_position(own["places"], i.cast("int"))
+        marks = F.repeat(F.lit("="), F.length(F.get(own["source"], (k - 1).cast("int"))))
         return F.when(k > 0, F.concat(F.regexp_extract(line, r"^(\s*)", 1), marks, F.lit(" "), F.regexp_replace(line, r"^\s*=+\s+", ""))).otherwise(line)
 
-    same = (F.size(source) == F.size(places)) & (F.size(source) > 0)
-    return pairs.select(*keys, F.when(same, F.array_join(F.transform(out, one), "\n")).otherwise(F.coalesce("output", F.lit(""))).alias("output"))
+    def levelled(own: Column) -> Column:
+        same = (F.size(own["source"]) == F.size(own["places"])) & (F.size(own["source"]) > 0)
+        return F.when(same, F.array_join(F.transform(out, lambda x, i: one(x, i, own)), "\n")).otherwise(F.coalesce("output", F.lit("")))
+
+    return pairs.select(*keys, T.let(F.struct(source.alias("source"), places.alias("places")), levelled).alias("output"))
 
 
 def outlines(docs: DataFrame, key: str = "doc_id", order: str = "chunk_idx", body: str = "body") -> DataFrame:

@@ -1,15 +1,501 @@
-"""All queries over the reference operators, with their SQL."""
+"""All queries over the operators, with SQL for those that SQL can say."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from quire.functions import text as T
+from quire.operators import compare, layout, render, repair, structure
+from quire.plans import inputs as I
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.table(spark, sf_dir, "documents")
+
+
+TOKENS_SQL = f"SELECT doc_id, unnest({I.canonical_sql('source')}) AS token, 1 AS a, 0 AS b FROM ({I.PAIRS_SQL}) UNION ALL SELECT doc_id, unnest({I.canonical_sql('output')}), 0, 1 FROM ({I.PAIRS_SQL})"
+DELTA_SQL = f"SELECT doc_id, token, sum(a) AS a, sum(b) AS b FROM ({TOKENS_SQL}) GROUP BY ALL"
+
+# Comparison
+
+
+@query(
+    "j9_token_inventory_diff",
+    f"""SELECT p.doc_id, CAST(coalesce(m, 0) AS BIGINT) AS n_missing, CAST(coalesce(x, 0) AS BIGINT) AS n_added, coalesce(m, 0) = 0 AND coalesce(x, 0) = 0 AS ok
+    FROM ({I.PAIRS_SQL}) p LEFT JOIN (SELECT doc_id, sum(greatest(a - b, 0)) AS m, sum(greatest(b - a, 0)) AS x FROM ({DELTA_SQL}) GROUP BY doc_id) d USING (doc_id)""",
+)
+def token_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.token_inventory(I.pairs(spark, sf_dir), ["doc_id"]).select("doc_id", "n_missing", "n_added", "ok")
+
+
+_NOISE_SQL = "token IN (" + ", ".join(f"'{w}'" for w in compare.LATEX_NOISE) + ") OR regexp_full_match(token, '[lcrxp]+')"
+
+
+@query(
+    "j10_table_guard",
+    f"""SELECT p.doc_id, CAST(coalesce(x, 0) AS BIGINT) AS n_added, CAST(coalesce(m, 0) AS BIGINT) AS n_missing, CAST(greatest(1, floor(coalesce(n, 0) / 10)) AS BIGINT) AS allowed,
+      coalesce(x, 0) = 0 AND coalesce(m, 0) <= greatest(1, floor(coalesce(n, 0) / 10)) AS ok
+    FROM ({I.PAIRS_SQL}) p LEFT JOIN (SELECT doc_id, sum(greatest(a - b, 0)) AS m, sum(greatest(b - a, 0)) AS x, sum(a) AS n FROM ({DELTA_SQL}) WHERE NOT ({_NOISE_SQL}) GROUP BY doc_id) d USING (doc_id)""",
+)
+def table_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.table_guard(I.pairs(spark, sf_dir), ["doc_id"])
+
+
+def _invariants_sql(column: str) -> str:
+    t = f"coalesce({column}, '')"
+    # RE2 has no lookbehind: the character before a number is taken too, and only the group is kept.
+    return rf"""list_concat(list_concat(regexp_extract_all({t}, '(?:^|[^A-Za-z0-9_])(\d+(?:[.,]\d+)?\s*%)', 1), regexp_extract_all({t}, '(?:^|[^A-Za-z0-9_])(\d+(?:[.,]\d+)?)\b', 1)), regexp_extract_all({t}, '(?i)https?://[^\s)\]]+'))"""
+
+
+@query(
+    "j11_missing_invariants",
+    f"""SELECT p.doc_id, CAST(coalesce(m, 0) AS BIGINT) AS n_missing FROM ({I.PAIRS_SQL}) p LEFT JOIN (
+      SELECT doc_id, sum(greatest(a - b, 0)) AS m FROM (SELECT doc_id, item, sum(a) AS a, sum(b) AS b FROM (
+        SELECT doc_id, unnest({_invariants_sql('source')}) AS item, 1 AS a, 0 AS b FROM ({I.PAIRS_SQL}) UNION ALL
+        SELECT doc_id, unnest({_invariants_sql('output')}), 0, 1 FROM ({I.PAIRS_SQL})) GROUP BY ALL) GROUP BY doc_id) d USING (doc_id)""",
+)
+def missing_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.missing_invariants(I.pairs(spark, sf_dir), ["doc_id"]).select("doc_id", "n_missing")
+
+
+@query(
+    "a13_token_similarity",
+    f"""SELECT doc_id, len(list_intersect(x, y)) / greatest(len(x), len(y), 1) AS similarity
+    FROM (SELECT doc_id, list_distinct({I.canonical_sql('source')}) AS x, list_distinct({I.canonical_sql('output')}) AS y FROM ({I.PAIRS_SQL}))""",
+)
+def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.pairs(spark, sf_dir).select("doc_id", T.token_similarity(T.canonical_tokens("source"), T.canonical_tokens("output")).alias("similarity"))
+
+
+_UNITS = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce({c}, ''), '([.!?…])\s+', '\1' || chr(1), 'g'), '\n{{2,}}', chr(1), 'g'), chr(1)), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: regexp_matches(s, '[\p{{L}}\p{{N}}]'))"
+
+
+def _unit_sql(column: str, pos: str) -> str:
+    return f"SELECT doc_id, i - 1 AS {pos}, list_distinct({I.canonical_sql('u[i]')}) AS t FROM (SELECT doc_id, u, unnest(range(1, len(u) + 1)) AS i FROM (SELECT doc_id, {_UNITS.format(c=column)} AS u FROM ({I.PAIRS_SQL})))"
+
+
+@query(
+    "j7_best_passage",
+    f"""WITH s AS ({_unit_sql('source', 'pos')}), o AS ({_unit_sql('output', 'place')}), c AS (
+      SELECT s.doc_id, s.pos, o.place, count(*) / greatest(len(s.t), len(o.t)) AS score FROM (SELECT doc_id, pos, t, unnest(t) AS k FROM s) s JOIN (SELECT doc_id, place, t, unnest(t) AS k FROM o) o USING (doc_id, k) GROUP BY s.doc_id, s.pos, o.place, s.t, o.t)
+    SELECT s.doc_id, s.pos, coalesce(b.place, -1) AS match, coalesce(b.score, 0.0) AS similarity FROM s LEFT JOIN (
+      SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, place) = 1) b ON s.doc_id = b.doc_id AND s.pos = b.pos""",
+)
+def best_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.best_passages(I.pairs(spark, sf_dir), ["doc_id"])
+
+
+_FID = r"trim(regexp_replace(strip_accents(regexp_replace(lower(coalesce({c}, '')), '([a-zà-ÿ])-\s*([a-zà-ÿ])', '\1\2', 'g')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(
+    "j12_shingle_containment",
+    f"""WITH w AS (SELECT doc_id, list_filter(string_split({_FID.format(c='source')}, ' '), lambda x: x <> '') AS a, list_filter(string_split({_FID.format(c='output')}, ' '), lambda x: x <> '') AS b FROM ({I.PAIRS_SQL})),
+    s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(a) - 1, 1)), lambda i: a[i] || ' ' || a[i + 1] || ' ' || a[i + 2])) AS a, list_distinct(list_transform(range(1, greatest(len(b) - 1, 1)), lambda i: b[i] || ' ' || b[i + 1] || ' ' || b[i + 2])) AS b FROM w)
+    SELECT doc_id, len(a) AS n_shingles, len(list_intersect(a, b)) AS n_common FROM s""",
+)
+def shingle_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (T.shingles(T.fidelity_words(c)) for c in ("source", "output"))
+    ready = I.pairs(spark, sf_dir).select("doc_id", a.alias("a"), b.alias("b"))
+    return ready.select("doc_id", F.size("a").cast("bigint").alias("n_shingles"), F.size(F.array_intersect("a", "b")).cast("bigint").alias("n_common"))
+
+
+@query("c4_fidelity")
+def fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.fidelity(I.pairs(spark, sf_dir), ["doc_id"])
+
+
+@query("c5_token_sequences")
+def token_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.token_sequences(I.pairs(spark, sf_dir), ["doc_id"]).drop("missing", "added")
+
+
+@query("c6_difference_contexts")
+def difference_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.difference_contexts(I.pairs(spark, sf_dir), ["doc_id"])
+
+
+@query("c12_verify")
+def verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.verify(I.pairs(spark, sf_dir), ["doc_id"])
+
+
+@query(
+    "a1_token_counts",
+    f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({I.canonical_sql('text')}) AS token FROM documents) GROUP BY token",
+)
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _docs(spark, sf_dir).select("doc_id", F.explode(T.canonical_tokens("text")).alias("token")).groupBy("doc_id", "token").count()
+    return each.groupBy("token").agg(F.sum("count").alias("n"), F.count("*").alias("n_docs"))
+
+
+@query(
+    "u_except_all_tokens",
+    f"""SELECT token, count(*) AS n FROM (SELECT unnest({I.canonical_sql("text")}) AS token FROM documents WHERE lang = 'es' EXCEPT ALL SELECT unnest({I.canonical_sql("text")}) FROM documents WHERE lang = 'fr') GROUP BY token""",
+)
+def except_all_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts first, so that only distinct tokens are dealt out, then the difference of multisets."""
+    each = _docs(spark, sf_dir).where(F.col("lang").isin("es", "fr")).select("lang", F.explode(T.canonical_tokens("text")).alias("token"))
+    n = each.groupBy("token").agg((F.count_if(F.col("lang") == "es") - F.count_if(F.col("lang") == "fr")).alias("n"))
+    return n.where("n > 0")
+
+
+# Layout
+
+_BLOCK_KEYS = "doc_id, page, block_idx"
+
+
+def _sql_blocks(columns: str, where: str = "TRUE") -> str:
+    return f"SELECT {_BLOCK_KEYS}, {columns} FROM (SELECT *, trim(text) AS t, xmin IS NOT NULL AS boxed FROM ({I.BLOCKS_SQL})) WHERE {where}"
+
+
+NUMBER_SQL = "(regexp_full_match(t, '(?i)(?:pagina\\s+)?\\d{1,3}') OR regexp_full_match(t, '(?:PAGINA\\s+)?[IVXLCDM]{1,10}'))"
+HEADER_SQL = "(length(t) BETWEEN 4 AND 110 AND len(regexp_extract_all(t, '[\\p{L}\\p{N}]+')) BETWEEN 2 AND 12 AND NOT regexp_matches(t, '[,.!?;:]'))"
+FOOTNOTE_SQL = "coalesce(type IN ('Footnote', 'Footnote-text', 'FootnoteText') OR (type = 'Text' AND boxed AND ymin >= 0.7 AND regexp_matches(t, '^(?:[*†‡]|[⁰¹²³⁴⁵⁶⁷⁸⁹]+|\\d{1,2}[.)]?)\\s+\\p{L}')), FALSE)"
+FURNITURE_SQL = f"""CASE WHEN type IN ('Page-header', 'Page-footer') THEN TRUE WHEN NOT boxed THEN FALSE WHEN {FOOTNOTE_SQL} THEN FALSE
+  WHEN {NUMBER_SQL} AND (ymax < 0.22 OR ymin > 0.80) THEN TRUE WHEN type <> 'Text' OR length(t) > 90 THEN FALSE ELSE ymax < 0.09 OR ymin > 0.93 END"""
+
+
+query("p_page_number", _sql_blocks(f"{NUMBER_SQL} AS page_number"))(lambda s, d: I.blocks(s, d).select("doc_id", "page", "block_idx", layout.is_page_number("text").alias("page_number")))
+query("p_running_header", _sql_blocks(f"{HEADER_SQL} AS header"))(lambda s, d: I.blocks(s, d).select("doc_id", "page", "block_idx", layout.looks_like_running_header("text").alias("header")))
+query("p_footnote", _sql_blocks(f"{FOOTNOTE_SQL} AS footnote"))(lambda s, d: I.blocks(s, d).select("doc_id", "page", "block_idx", layout.is_footnote().alias("footnote")))
+query("p_page_furniture", _sql_blocks(f"{FURNITURE_SQL} AS furniture"))(lambda s, d: I.blocks(s, d).select("doc_id", "page", "block_idx", layout.is_page_furniture().alias("furniture")))
+query("p_artifact_and_width", _sql_blocks("""CASE WHEN NOT boxed THEN FALSE ELSE greatest(0.0, xmax - xmin) * greatest(0.0, ymax - ymin) < 0.02 OR xmax - xmin < 0.08 OR ymax - ymin < 0.05 END AS artifact,
+  CAST(CASE WHEN NOT boxed OR xmax - xmin <= 0 THEN 60 ELSE floor(least(100.0::DOUBLE, greatest(15.0::DOUBLE, (xmax - xmin) / 0.72::DOUBLE * 100)) + 0.5) END AS INT) AS width_pct"""))(
+    lambda s, d: I.blocks(s, d).select("doc_id", "page", "block_idx", layout.is_likely_artifact().alias("artifact"), layout.width_pct().alias("width_pct"))
+)
+query("p_table_block", _sql_blocks("type = 'Table' AND boxed AS table_block, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, '|'))) >= 2 AS pipes"))(
+    lambda s, d: I.blocks(s, d).select("doc_id", "page", "block_idx", layout.is_table_block().alias("table_block"), layout.looks_like_markdown_table("text").alias("pipes"))
+)
+query("p_spread", _sql_blocks("coalesce((xmax - xmin) / nullif(ymax - ymin, 0) >= 1.25, FALSE) AS spread"))(
+    lambda s, d: I.blocks(s, d).select("doc_id", "page", "block_idx", layout.is_spread_like(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")).alias("spread"))
+)
+query(
+    "m_heading_markdown",
+    _sql_blocks("""CASE WHEN t = '' OR type NOT IN ('Title', 'Section-header') THEN t ELSE repeat('#', CAST(CASE WHEN regexp_matches(t, '^\\d+(?:\\.\\d+){0,4}[.)]?\\s') THEN least(6, len(string_split(regexp_extract(t, '^(\\d+(?:\\.\\d+){0,4})', 1), '.'))) WHEN type = 'Title' THEN 1 ELSE 2 END AS INT)) || ' ' || t END AS markdown"""),
+)(lambda s, d: I.blocks(s, d).select("doc_id", "page", "block_idx", layout.heading_markdown().alias("markdown")))
+query(
+    "m_footnote_markdown",
+    _sql_blocks("""CASE WHEN t = '' THEN '' ELSE '<footnote>' || CASE WHEN regexp_matches(t, '^(?:[*†‡]|\\d{1,2}[.)]?)\\s+\\p{L}') THEN regexp_replace(t, '^(?:[*†‡]|\\d{1,2}[.)]?)\\s+', '') ELSE t END || '</footnote>' END AS note"""),
+)(lambda s, d: I.blocks(s, d).select("doc_id", "page", "block_idx", layout.footnote_markdown("text").alias("note")))
+
+
+@query(
+    "j6_contextual_furniture",
+    f"""SELECT {_BLOCK_KEYS}, {FURNITURE_SQL} OR (top AND type = 'Text' AND boxed AND ymax < 0.22 AND ymax - ymin < 0.07 AND {HEADER_SQL}) AS furniture
+    FROM (SELECT *, bool_or(boxed AND {NUMBER_SQL} AND ymax < 0.22) OVER (PARTITION BY doc_id, page) AS top FROM (SELECT *, trim(text) AS t, xmin IS NOT NULL AS boxed FROM ({I.BLOCKS_SQL})))""",
+)
+def contextual_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.page_furniture(I.blocks(spark, sf_dir)).select("doc_id", "page", "block_idx", "furniture")
+
+
+@query(
+    "w5_widest_gap",
+    f"""SELECT doc_id, page, arg_max(ending + gap / 2, struct_pack(gap := gap, lo := lo)) AS cut FROM (SELECT doc_id, page, xmin AS lo, ending, xmin - ending AS gap FROM (
+      SELECT doc_id, page, xmin, max(xmax) OVER (PARTITION BY doc_id, page ORDER BY xmin, xmax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ending FROM ({I.BLOCKS_SQL}) WHERE xmin IS NOT NULL)) WHERE gap >= 0.015 GROUP BY doc_id, page""",
+)
+def widest_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.column_gap(I.blocks(spark, sf_dir), ["doc_id", "page"])
+
+
+@query("c1_reading_order")
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.order_blocks(I.blocks(spark, sf_dir))
+
+
+@query("j5_captions")
+def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.captions(I.blocks(spark, sf_dir))
+
+
+@query("c2_assemble_pages")
+def assemble_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.number_figures(layout.assemble_pages(I.blocks(spark, sf_dir)))
+
+
+@query(
+    "j20_band_of_narrow_blocks",
+    f"""WITH b AS (SELECT *, xmax - xmin AS w, (ymin + ymax) / 2 AS cy FROM ({I.BLOCKS_SQL}) WHERE xmin IS NOT NULL)
+    SELECT doc_id, page, block_idx, (SELECT count(*) FROM b w WHERE w.w >= 0.45 AND n.doc_id = w.doc_id AND n.page = w.page AND n.cy > w.cy) AS band FROM b n WHERE n.w < 0.45""",
+)
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many wide blocks lie above each narrow one: a running count over both by height, no range join."""
+    b = I.blocks(spark, sf_dir).where("xmin IS NOT NULL").select("doc_id", "page", "block_idx", (F.col("xmax") - F.col("xmin")).alias("w"), ((F.col("ymin") + F.col("ymax")) / 2).alias("cy"))
+    above = Window.partitionBy("doc_id", "page").orderBy("cy").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    at = Window.partitionBy("doc_id", "page", "cy")
+    wide = (F.col("w") >= 0.45).cast("bigint")
+    counted = b.withColumn("band", F.sum(wide).over(above) - F.sum(wide).over(at))
+    return counted.where("w < 0.45").select("doc_id", "page", "block_idx", "band")
+
+
+# Structure
+
+
+@query(
+    "w3_heading_ranks",
+    rf"""SELECT doc_id, n AS line_no, depth, dense_rank() OVER (PARTITION BY doc_id ORDER BY depth) AS level FROM (SELECT doc_id, n, CAST(CASE WHEN regexp_matches(line, '^#{{1,6}}\s+\s*\d+(?:\.\d+){{0,5}}[.)]?\s+')
+      THEN least(6, len(string_split(regexp_extract(line, '^#{{1,6}}\s+\s*(\d+(?:\.\d+){{0,5}})[.)]?\s+', 1), '.'))) ELSE length(regexp_extract(line, '^(#{{1,6}})\s+', 1)) END AS INT) AS depth FROM ({I.MARKED_SQL})) WHERE depth > 0""",
+)
+def heading_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = I.marked_lines(spark, sf_dir).withColumn("depth", structure.heading_depth(F.col("line"))).where("depth IS NOT NULL")
+    return heads.select("doc_id", F.col("n").alias("line_no"), "depth", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("depth")).alias("level"))
+
+
+_MARKED_DOC_SQL = f"SELECT doc_id, string_agg(line, chr(10) || chr(10) ORDER BY n) AS text FROM ({I.MARKED_SQL}) GROUP BY doc_id"
+
+
+@query(
+    "c7_block_kinds",
+    rf"""SELECT doc_id, 'b-' || (i) AS id, CASE WHEN regexp_matches(trim(b[i], E' \n\t\r'), '(?m)^(?:<!--\s*pagina\s+\d+\s*-->\s*)?#{{1,6}}\s') THEN 'heading' WHEN regexp_matches(trim(b[i], E' \n\t\r'), '(?m)^!\[') THEN 'figure'
+      WHEN regexp_matches(b[i], '(?m)\\begin\{{tabular\}}|^\s*\|') THEN 'table' WHEN regexp_matches(b[i], '(?m)^\s*(?:[-+*]|\d+[.)])\s+') THEN 'list' WHEN regexp_matches(trim(b[i], E' \n\t\r'), '(?i)^<!--\s*pagina') THEN 'page-or-prose' ELSE 'prose' END AS kind
+    FROM (SELECT doc_id, b, unnest(range(1, len(b) + 1)) AS i FROM (SELECT doc_id, string_split_regex(trim(text, E' \n\t\r'), '\n{{2,}}') AS b FROM ({_MARKED_DOC_SQL})))""",
+)
+def block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.describe_blocks(I.marked_documents(spark, sf_dir)).select("doc_id", "id", "kind")
+
+
+@query("s_normalized_headings")
+def normalized_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.normalize_heading_levels(I.marked_documents(spark, sf_dir))
+
+
+@query("w8_chunks")
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.chunks(_docs(spark, sf_dir), most=5000)
+
+
+@query("w11_outlines")
+def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunked = structure.chunks(I.marked_documents(spark, sf_dir), most=2000).select("doc_id", "chunk_idx", F.regexp_replace("text", r"(?m)^#(?=\s)", "=").alias("body"))
+    return structure.outlines(chunked)
+
+
+@query("c11_combined")
+def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunked = structure.chunks(I.marked_documents(spark, sf_dir), most=2000).select("doc_id", "chunk_idx", F.regexp_replace("text", r"(?m)^#(?=\s)", "=").alias("body"))
+    return structure.combine_documents(chunked)
+
+
+@query(
+    "a6_joined_parts",
+    "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations WHERE coalesce(text, '') <> '' GROUP BY conv_id",
+)
+def joined_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.join_parts(I.table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@query(
+    "s_dense_parts",
+    """WITH p AS (SELECT conv_id, turn, text FROM conversations WHERE turn % 3 <> 1), t AS (SELECT conv_id, count(*) + 2 AS total FROM conversations GROUP BY conv_id),
+    n AS (SELECT t.conv_id, greatest(total, coalesce(top, 0)) AS n FROM t LEFT JOIN (SELECT conv_id, max(turn) + 1 AS top FROM p GROUP BY conv_id) USING (conv_id))
+    SELECT i.conv_id, i.turn, p.text FROM (SELECT conv_id, unnest(range(0, n)) AS turn FROM n) i LEFT JOIN p ON i.conv_id = p.conv_id AND i.turn = p.turn""",
+)
+def dense_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = I.table(spark, sf_dir, "conversations")
+    totals = turns.groupBy("conv_id").agg((F.count("*") + 2).alias("total"))
+    return structure.dense_parts(turns.where("turn % 3 <> 1"), totals, "conv_id", "turn", "text")
+
+
+@query(
+    "l_systematic_sample",
+    """SELECT l_suppkey, l_orderkey, pos FROM (SELECT l_suppkey, l_orderkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS pos, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)
+    WHERE n <= 120 OR (ceil(pos * 120 / n) < 120 AND floor(ceil(pos * 120 / n) * n / 120) = pos)""",
+)
+def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    rows = I.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", (F.row_number().over(order) - 1).cast("bigint").alias("pos"))
+    return structure.systematic_sample(rows, "l_suppkey", "pos").select("l_suppkey", "l_orderkey", "pos")
+
+
+@query(
+    "w13_validated_styles",
+    rf"""WITH d AS (SELECT doc_id, 'b-' || (n + 1) AS id FROM ({I.MARKED_SQL}) WHERE n % 14 NOT IN (0, 7)), p AS (SELECT doc_id, 'b-' || (n % 20 + 1) AS id, CASE n % 4 WHEN 0 THEN 'quote' WHEN 1 THEN 'center' WHEN 2 THEN 'bold' ELSE 'compact' END AS style, n AS pos FROM ({I.MARKED_SQL}))
+    SELECT doc_id, id, arg_min(style, pos) AS style FROM p SEMI JOIN d USING (doc_id, id) WHERE style <> 'bold' GROUP BY doc_id, id""",
+)
+def validated_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = I.marked_lines(spark, sf_dir)
+    described = lines.select("doc_id", F.concat(F.lit("b-"), F.col("n") + 1).alias("id"), F.when((F.col("n") % 14).isin(0, 7), "heading").otherwise("prose").alias("kind"))
+    style = F.element_at(F.array(F.lit("quote"), F.lit("center"), F.lit("bold"), F.lit("compact")), F.col("n") % 4 + 1)
+    proposed = lines.select("doc_id", F.concat(F.lit("b-"), F.col("n") % 20 + 1).alias("id"), style.alias("style"), F.col("n").alias("pos"))
+    return structure.valid_styles(proposed, described)
+
+
+# Repair
+
+_WORDS_SQL = "SELECT DISTINCT lower(w) AS word FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '\\p{L}+')) AS w FROM documents WHERE lang = 'en')"
+
+
+def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    english = _docs(spark, sf_dir).where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    return english.select(F.lower("word").alias("word")).distinct()
+
+
+@query(
+    "j1_unknown_words",
+    f"SELECT word, n FROM (SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '\\p{{L}}+')) AS w FROM documents) GROUP BY ALL) ANTI JOIN ({_WORDS_SQL}) USING (word)",
+)
+def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
+    return words.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n")).join(_dictionary(spark, sf_dir), "word", "left_anti")
+
+
+@query("c10_suspects")
+def suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.unknown_words(_docs(spark, sf_dir), repair.dictionary(_dictionary(spark, sf_dir)))
+
+
+@query("j2_correct_words")
+def correct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}[\p{L}'’]+"), F.lit(0))).alias("word"))
+    return repair.correct_words(words, repair.dictionary(_dictionary(spark, sf_dir)))
+
+
+_SPACING_SQL = r"""SELECT doc_id, len(regexp_extract_all(t, '[ \t]+[,;:!?.]')) AS before_marks, len(regexp_extract_all(t, '\([ \t]+')) AS after_bracket, len(regexp_extract_all(t, '[ \t]+\)')) AS before_bracket, len(regexp_extract_all(t, '\S[ \t]{2,}')) AS doubled
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""
+
+
+@query("f_spacing_counts", _SPACING_SQL)
+def spacing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _docs(spark, sf_dir).select("doc_id", repair.spacing_counts("text").alias("c"))
+    return found.select("doc_id", *[F.get("c", F.lit(k)).cast("bigint").alias(n) for k, n in ((0, "before_marks"), (4, "after_bracket"), (5, "before_bracket"), (11, "doubled"))])
+
+
+@query("f_fixed_spacing")
+def fixed_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", repair.fix_spacing("text").alias("text"))
+
+
+@query("c3_boundary_overlaps")
+def boundary_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.boundary_overlaps(I.document_lines(spark, sf_dir), text="line")
+
+
+@query("r_fixed_hyphenation")
+def fixed_hyphenation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.fix_hyphenation(_docs(spark, sf_dir).select("doc_id", "text"), repair.dictionary(_dictionary(spark, sf_dir)))
+
+
+_PROSE_SQL = r"""SELECT doc_id, n, t <> '' AND NOT (regexp_matches(t, '^[=+\-#]') OR regexp_matches(t, '#[a-zA-Z]') OR regexp_matches(t, '(?i)</?footnote>') OR regexp_matches(t, '\$[^$]*\$') OR regexp_matches(t, '<!--|-->')
+  OR regexp_matches(t, '!\[[^\]]*\]\([^)]*\)')) AND NOT (regexp_matches(t, '\]\(|\)\s*$') AND contains(t, '[')) AS prose FROM (SELECT doc_id, n, trim(line, E' \n\t\r') AS t FROM ({marked}))"""
+
+
+@query("p_plain_prose", _PROSE_SQL.replace("{marked}", I.MARKED_SQL))
+def plain_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.marked_lines(spark, sf_dir).select("doc_id", "n", repair.plain_prose("line").alias("prose"))
+
+
+# Rendering
+
+
+@query("c7_rendered")
+def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.render_documents(I.marked_documents(spark, sf_dir))
+
+
+@query("r_autofixed")
+def autofixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.autofix_documents(I.marked_documents(spark, sf_dir))
+
+
+@query("r_escaped", r"SELECT doc_id, regexp_replace(coalesce(text, ''), '([\\#$@\[\]<>])', '\\\1', 'g') AS escaped FROM documents")
+def escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", T.escape_plain(F.coalesce("text", F.lit(""))).alias("escaped"))
+
+
+# Scalars and tokens
+
+
+def _docs_query(name: str, column, sql: str) -> None:
+    query(name, f"SELECT doc_id, {sql} FROM documents")(lambda s, d: _docs(s, d).select("doc_id", column().alias("value")))
+
+
+_docs_query("f_canonical_tokens", lambda: F.array_join(T.canonical_tokens("text"), " "), f"array_to_string({I.canonical_sql('text')}, ' ') AS value")
+_docs_query("f_fidelity_text", lambda: T.fidelity_text("text"), _FID.format(c="text") + " AS value")
+_docs_query("f_content_words", lambda: F.array_join(T.content_words("text"), " "), "trim(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^a-z]+', ' ', 'g')) AS value")
+_docs_query("f_structural_punctuation", lambda: T.structural_punctuation("text"), r"regexp_replace(coalesce(text, ''), '[^.,;:!?()\[\]{}]+', '', 'g') AS value")
+_docs_query("f_heading_key", lambda: T.heading_key("text"), r"trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.:;,]+$', ''), '\s+', ' ', 'g')) AS value")
+_docs_query("f_strip_base64_prefix", lambda: T.strip_base64_prefix("text"), "CASE WHEN contains(text, ',') THEN substr(text, instr(text, ',') + 1) ELSE text END AS value")
+_docs_query("f_comparison_units", lambda: F.size(T.comparison_units("text")).cast("bigint"), f"len({_UNITS.format(c='text')}) AS value")
+_docs_query("f_format_bytes", lambda: T.format_bytes("n_chars"), "CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) ELSE printf('%.0f KB', n_chars / 1024) END AS value")
+_docs_query("f_invariants", lambda: F.size(T.extract_invariants("text")).cast("bigint"), f"len({_invariants_sql('text')}) AS value")
+
+
+@query(
+    "f_levenshtein",
+    "SELECT a.item_id, levenshtein(left(regexp_replace(a.text, '[^A-Za-z .]', '', 'g'), 60), left(regexp_replace(b.text, '[^A-Za-z .]', '', 'g'), 60)) AS distance FROM benchmark a LEFT JOIN benchmark b ON b.item_id = a.item_id + 1",
+)
+def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit distance of each benchmark passage's opening to the next one's, met by consecutive numbers."""
+    items = I.table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.regexp_replace("text", "[^A-Za-z .]", ""), 1, 60).alias("t"))
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))
+    return items.join(after, "item_id", "left").select("item_id", F.levenshtein("t", "u").cast("bigint").alias("distance"))
+
+
+# State: upserts, projections, deletes
+
+
+@query(
+    "s_latest_state",
+    "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
+)
+def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last writer wins: a maximum by key aggregates before the shuffle, which a row number can't."""
+    events = I.table(spark, sf_dir, "events")
+    return events.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("x")).select("user_id", "x.event_id", "x.event_type")
+
+
+@query(
+    "s_summary_of",
+    "SELECT conv_id, count(*) AS total, count(*) FILTER (WHERE coalesce(text, '') <> '' AND role = 'assistant') AS done, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
+)
+def summary_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = (F.coalesce("text", F.lit("")) != "") & (F.col("role") == "assistant")
+    return I.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("total"), F.count_if(done).alias("done"), F.max("turn").alias("last_turn"))
+
+
+@query(
+    "s_cascade_delete",
+    "SELECT conv_id, turn FROM conversations ANTI JOIN (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user' AND length(text) > 400) USING (conv_id)",
+)
+def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = I.table(spark, sf_dir, "conversations")
+    gone = turns.where((F.col("role") == "user") & (F.length("text") > 400)).select("conv_id").distinct()
+    return turns.select("conv_id", "turn").join(gone, "conv_id", "left_anti")
+
+
+@query("u_union_distinct", "SELECT DISTINCT word FROM (SELECT trim(lower(event_type)) AS word FROM events UNION SELECT trim(lower(role)) FROM conversations) WHERE word <> ''")
+def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = I.table(spark, sf_dir, "events").select(F.trim(F.lower("event_type")).alias("word")).distinct()
+    b = I.table(spark, sf_dir, "conversations").select(F.trim(F.lower("role")).alias("word")).distinct()
+    return a.union(b).where("word <> ''").distinct()
+
+
+@query("w12_line_offsets", f"SELECT doc_id, n, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM {I.LINES_SQL}")
+def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    return I.document_lines(spark, sf_dir).select("doc_id", F.col("n").cast("bigint").alias("n"), F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).alias("start"))
