@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import let, words
-from .shared import ASCII_SPACE, written
+from .shared import written
 
 #: Fixed characters that are taken for spaces when words are told apart here.
 MARKS = ".,;:!?%*#$&|<>()"
@@ -35,30 +35,25 @@ SOFTNESS = 0.5
 def tokens_of(text_col: str) -> Column:
     """Hashes of a text's distinct words, without marks and in lower case, and of its style.
 
-    Style is told by marks, capitals, symbols and distinct words for each word and by the words' size, in steps.
+    Style is told by symbols and capitals for each word, the words' size and how many differ, in steps.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = words(F.lower(F.translate(text, MARKS, " " * len(MARKS))))
-    size = F.length(text)
-    count = lambda chars: size - F.length(F.translate(text, chars, ""))
-    blanks = F.length(F.translate(text, ASCII_SPACE, ""))
-    n = F.greatest(F.lit(1), size - blanks)
+    count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
 
     def step(name: str, value: Column, width: float, top: int) -> Column:
         return F.xxhash64(F.lit(f"style {name}"), F.least(F.lit(top), F.floor(value / width).cast("int")))
 
-    def both(w: Column) -> Column:
-        distinct = F.array_distinct(w)
-        style = F.array(
-            step("marks", count("!|") / n, 0.1, 6),
-            step("symbols", count("#*$%&<>") / n, 0.1, 6),
-            step("capitals", count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / F.greatest(F.lit(1), blanks), 0.1, 6),
-            step("size", blanks / n, 1.0, 12),
-            step("variety", F.size(distinct) / F.greatest(F.lit(1), F.size(w)), 0.1, 10),
-        )
-        return F.concat(F.transform(distinct, lambda x: F.xxhash64(x)), style)
-
-    return let(plain, both)
+    def both(hashes: Column) -> Column:
+        n = F.greatest(F.lit(1), F.size(hashes))
+        return let(F.array_distinct(hashes), lambda distinct: F.concat(distinct, F.array(
+            step("symbols", count("!|#*$%&<>") / n, 0.1, 6),
+            step("capitals", count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / n, 0.3, 6),
+            step("size", F.length(text) / n, 1.0, 14),
+            step("variety", F.size(distinct) / n, 0.1, 10),
+        )))
+
+    return let(F.transform(plain, lambda x: F.xxhash64(x)), both)
 
 
 def word_table(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_col: str) -> tuple[list[str], list[int], list[list[float]]]:
