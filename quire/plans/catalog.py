@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import compare, layout, render, repair, structure
+from quire.operators import boundaries, compare, layout, render, repair, structure
 from quire.plans import inputs as I
+from quire.sources import files, responses
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -499,3 +500,112 @@ def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     return I.document_lines(spark, sf_dir).select("doc_id", F.col("n").cast("bigint").alias("n"), F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).alias("start"))
+
+
+# Boundary repair and lookups
+
+
+@query("c3_repaired_boundaries")
+def repaired_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundaries.repair_boundaries(I.marked_documents(spark, sf_dir)).select("doc_id", "text", F.size("changes").alias("n_changes"))
+
+
+@query(
+    "j3_ignore_list",
+    """SELECT word, n FROM (SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '\\p{L}{4,}')) AS w FROM documents) GROUP BY ALL) ANTI JOIN (
+      SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_extract_all(text, '\\p{L}{4,}')) AS w FROM benchmark)) USING (word)""",
+)
+def ignore_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = lambda t: I.table(spark, sf_dir, t).select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"))
+    return words("documents").join(words("benchmark").select("word"), "word", "left_anti")
+
+
+@query(
+    "j4_first_spelling",
+    """SELECT doc_id, form, arg_min(w, i) AS spelt, count(*) AS n FROM (SELECT doc_id, i, x[i] AS w, lower(x[i]) AS form FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\\p{L}{3,}') AS x FROM documents))) GROUP BY doc_id, form""",
+)
+def first_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("i", "w"))
+    return words.groupBy("doc_id", F.lower("w").alias("form")).agg(F.min_by("w", "i").alias("spelt"), F.count("*").alias("n"))
+
+
+@query(
+    "j13_zipped_headings",
+    f"""WITH h AS (SELECT doc_id, n, line, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM ({I.MARKED_SQL}) WHERE regexp_matches(line, '^#{{1,6}}\\s'))
+    SELECT a.doc_id, a.k, length(regexp_extract(a.line, '^(#+)', 1)) AS level, b.n AS other_line FROM h a JOIN h b ON b.doc_id = a.doc_id + 1 AND a.k = b.k""",
+)
+def zipped_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = I.marked_lines(spark, sf_dir).where(F.col("line").rlike(r"^#{1,6}\s")).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")))
+    other = heads.select((F.col("doc_id") - 1).alias("doc_id"), "k", F.col("n").cast("bigint").alias("other_line"))
+    return heads.join(other, ["doc_id", "k"]).select("doc_id", F.col("k").cast("bigint").alias("k"), F.length(F.regexp_extract("line", r"^(#+)", 1)).cast("bigint").alias("level"), "other_line")
+
+
+@query("j15_batch_index", "SELECT doc_id, n // 12 AS batch, n % 12 AS i, length(line) AS n_chars FROM " + I.LINES_SQL + " WHERE trim(line) <> ''")
+def batch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs by batch of 12 and place in it, by which answers find their paragraph again."""
+    lines = I.document_lines(spark, sf_dir).where(F.trim("line") != "")
+    n = F.col("n").cast("bigint")
+    return lines.select("doc_id", F.floor(n / 12).alias("batch"), (n % 12).alias("i"), F.length("line").cast("bigint").alias("n_chars"))
+
+
+@query(
+    "j18_uncovered_words",
+    f"""WITH l AS {I.LINES_SQL}, w AS (SELECT doc_id, n FROM l WHERE length(line) > 40), c AS (SELECT doc_id, min(n) AS first, max(n) AS last FROM l WHERE contains(line, ',') GROUP BY doc_id)
+    SELECT doc_id, n FROM w WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = w.doc_id AND w.n >= c.first AND w.n < c.last)""",
+)
+def uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines outside of their document's covered span: an equi-join with the range as a further condition."""
+    lines = I.document_lines(spark, sf_dir).withColumn("n", F.col("n").cast("bigint"))
+    span = lines.where(F.contains("line", F.lit(","))).groupBy("doc_id").agg(F.min("n").alias("first"), F.max("n").alias("last"))
+    return lines.where(F.length("line") > 40).select("doc_id", "n").join(span, (lines.doc_id == span.doc_id) & (F.col("n") >= F.col("first")) & (F.col("n") < F.col("last")), "left_anti")
+
+
+@query(
+    "a16_delimiter_parity",
+    """SELECT doc_id, (length(t) - length(replace(t, '*', ''))) % 2 AS stars, (length(t) - length(replace(t, '$', ''))) % 2 AS dollars FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+)
+def delimiter_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = lambda p: (F.regexp_count(F.coalesce("text", F.lit("")), F.lit(p)) % 2).cast("bigint")
+    return _docs(spark, sf_dir).select("doc_id", odd(r"\*").alias("stars"), odd(r"\$").alias("dollars"))
+
+
+@query(
+    "a4_mode_of_rounded",
+    "SELECT l_suppkey, rounded FROM (SELECT l_suppkey, rounded, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, first) AS r FROM (SELECT l_suppkey, floor(l_quantity + 0.5)::BIGINT AS rounded, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY ALL)) WHERE r = 1",
+)
+def mode_of_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent rounded size by key, the first seen of equals; two aggregates, no window."""
+    items = I.table(spark, sf_dir, "lineitem")
+    counted = items.groupBy("l_suppkey", F.floor(F.col("l_quantity") + 0.5).alias("rounded")).agg(F.count("*").alias("n"), F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first"))
+    return counted.groupBy("l_suppkey").agg(F.max_by("rounded", F.struct("n", -F.col("first"))).alias("rounded"))
+
+
+@query("p_file_error", "SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view') THEN 'type not supported' WHEN value * 1000000 > 20971520 THEN 'file too large' END AS error FROM events")
+def file_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mime = F.when(F.col("event_type").isin("click", "view"), "image/png").otherwise("text/plain")
+    return I.table(spark, sf_dir, "events").select("event_id", files.file_error(mime, F.col("value") * 1000000).alias("error"))
+
+
+@query("s_extracted_text", "SELECT conv_id, turn, coalesce(text, '') AS extracted FROM conversations")
+def extracted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn wrapped as one of three shapes of answer, and its text taken out again."""
+    turns = I.table(spark, sf_dir, "conversations")
+    text = F.coalesce("text", F.lit(""))
+    shapes = [
+        F.to_json(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("message"))).alias("choices"))),
+        F.to_json(F.struct(text.alias("markdown"))),
+        F.to_json(F.struct(F.array(F.struct(text.alias("text"))).alias("data"))),
+    ]
+    body = F.when(F.col("turn") % 3 == 0, shapes[0]).when(F.col("turn") % 3 == 1, shapes[1]).otherwise(shapes[2])
+    return turns.select("conv_id", "turn", responses.extracted_text(body).alias("extracted"))
+
+
+@query("f_base64_round_trip", "SELECT doc_id, base64(encode(coalesce(text, ''))) AS encoded FROM documents")
+def base64_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = files.data_url(F.lit("text/plain"), F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return _docs(spark, sf_dir).select("doc_id", F.replace(F.base64(files.url_bytes(url)), F.lit("\r\n"), F.lit("")).alias("encoded"))
+
+
+@query("u_word_union_counts", "SELECT lang, count(*) AS n_docs, min(n_chars) AS least, sum(n_chars)::BIGINT AS chars, bool_and(n_chars > 0) AS all_filled FROM documents GROUP BY lang")
+def language_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n_docs"), F.min("n_chars").alias("least"), F.sum("n_chars").alias("chars"), F.bool_and(F.col("n_chars") > 0).alias("all_filled"))
