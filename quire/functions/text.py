@@ -212,11 +212,11 @@ def normalize_soft_hyphens(c: Column | str) -> Column:
 
     The case of the repeated half is told apart without regard to case by back references.
     """
-    out = F.coalesce(col(c), F.lit(""))
-    repeated_first = r"(?iu)(?<!\p{L})(\p{L}+)\u00AD(?=\1\p{L}*(?!\p{L}))\1"
-    out = F.regexp_replace(out, repeated_first, "$1")
-    out = F.regexp_replace(out, r"(?iu)(\p{L}*?)(\p{L}+)\u00AD\2(?![\p{L}\u00AD])", "$1$2")
-    return F.regexp_replace(out, r"(?<=\p{L})\u00AD(?=\p{L})", "")
+    text = F.coalesce(col(c), F.lit(""))
+    out = F.regexp_replace(text, r"(?iu)(?<!\p{L})(\p{L}+)\u00AD(?=\1\p{L}*(?!\p{L}))\1", "$1")
+    out = F.regexp_replace(out, r"(?iu)(?<!\p{L})(?=\p{L}+\u00AD)(\p{L}*?)(\p{L}+)\u00AD\2(?![\p{L}\u00AD])", "$1$2")
+    out = F.regexp_replace(out, r"(?<=\p{L})\u00AD(?=\p{L})", "")
+    return F.when(F.contains(text, F.lit("\u00AD")), out).otherwise(text)
 
 
 #: Percentages, numbers, DOIs and addresses: what a conversion must not lose.
