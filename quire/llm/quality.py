@@ -207,9 +207,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
 def good_documents(docs: DataFrame, text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
     """The documents that the rules keep, with their own columns.
 
-    The measures are taken in the pass that counts votes and again in the one that filters, so that
-    no join on ids is needed: null and repeated ids are as good as any.
+    Rows are stored with their measures, which are taken once, and filtered in a second, cheap pass; no
+    join on ids is needed, so null and repeated ids are as good as any.
     """
     slim = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
-    found = judged(measures(slim, "_text"), keep_from)
+    found = judged(written(measures(slim, "_text").drop("_text"), "quality-rows"), keep_from)
     return found.where("kept").select("_row.*")
