@@ -236,7 +236,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     families = components(stars)
     member = families.select(F.col("u").alias("i"), F.col("v").alias("fam")).union(families.select(F.col("v").alias("i"), F.col("v").alias("fam")).distinct())
     text = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    members = written(text.join(written(member, "members"), "i").select("fam", "i", "t").dropDuplicates(["i", "t"]), "families")
+    members = written(text.join(written(member, "members").hint("merge"), "i").select("fam", "i", "t").dropDuplicates(["i", "t"]), "families")
     sizes = members.groupBy("fam").agg(F.count("*").alias("m"), F.sum(F.octet_length("t")).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     large = written(sizes.select("fam", blocks.alias("blocks")).where("blocks > 1"), "large")
