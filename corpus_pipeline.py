@@ -7,14 +7,11 @@ written and read again before the next.  All but the last return the columns of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quire.llm import exact, mixing, neardup, packing, quality
+from quire.llm.queries import MIX_WEIGHTS, labelled_domains
 from quire.llm.shared import table, written
 
-#: Share of the tokens that each language shall have.
-LANGUAGE_WEIGHTS = {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14}
-
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -34,12 +31,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Languages that lack tokens for their target weights gain copies of documents; no document is lost.
+    """Domains that lack tokens for their target weights gain copies, toxic and poor ones with too many lose documents.
 
-    The labelled table is the documents' own ``lang``: the rules have left too little of other domains to mix.
+    A document that is good by its likeliest domain is never lost.
     """
-    labels = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain"))
-    return mixing.resample(docs, labels, LANGUAGE_WEIGHTS).select(*COLUMNS)
+    return mixing.resample(docs, labelled_domains(spark, sf_dir), MIX_WEIGHTS, clean="good").select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ LEXICON, LEAST_DOCS, LEAST_DEVIATION = 512, 10, 5.0
 LEAST_LIFT = 2.0
 #: Rates are written out after so many steps; steps at most; largest relative miss that is let be.
 STEPS_KEPT, STEPS, TOLERANCE = 4, 48, 1e-6
+#: Weight of rates' differences from 1 against misses, by tokens, where rates are held; halvings of a step that are tried.
+RIDGE, HALVINGS = 1e-4, 8
 #: Log odds of words are scaled by this, so that posteriors stay soft.
 SOFTNESS = 0.5
 
@@ -129,23 +131,38 @@ def _solve(gram: list[list[float]], miss: list[float]) -> list[float]:
     return [rows[d][k] / rows[d][d] if rows[d][d] else 0.0 for d in range(k)]
 
 
-def rate_column(steps: list[list[float]], least: float = 0.0) -> Column:
+def least_rate(domains: list[str], least: float, clean: str | None = None) -> Column | float:
+    """The smallest rate allowed: ``least``, or 0 for rows whose likeliest domain isn't ``clean``, from posteriors ``p``.
+
+    Where ``clean`` is no domain, nothing tells what may go, and all rows are held.
+    """
+    if clean not in domains:
+        return float(least)
+    likeliest = F.array_position("p", F.array_max("p")) - 1
+    return F.when(likeliest == domains.index(clean), F.lit(float(least))).otherwise(F.lit(0.0))
+
+
+def rate_column(steps: list[list[float]], least: Column | float = 0.0) -> Column:
     """A row's rate after the given steps, from its posteriors ``p``."""
-    rate = F.lit(max(1.0, float(least)))
+    held = least if isinstance(least, Column) else F.lit(float(least))
+    rate = F.greatest(F.lit(1.0), held)
     for step in steps:
         move = sum((F.coalesce(F.get("p", F.lit(d)), F.lit(0.0)) * y for d, y in enumerate(step)), F.lit(0.0))
-        rate = F.greatest(F.lit(float(least)), rate - move)
+        rate = F.greatest(held, rate - move)
     return rate
 
 
-def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0) -> list[list[float]]:
+def fit_rates(members: DataFrame, targets: list[float], least: Column | float = 0.0) -> list[list[float]]:
     """The steps that lead to the rates of a stored table with ``tokens`` (long) and ``p`` (posteriors).
 
     Minimises the squared misses of the domains' expected tokens over rates from ``least`` (0 or more)
     on, starting from 1.  A step goes down the gradient, scaled by the domains' overlap among documents
     that can still move, and is projected back onto the rates allowed.  It ends when the misses, or
-    what a step changes of them, are under ``TOLERANCE`` of the targets.
+    what a step changes of them, are under ``TOLERANCE`` of the targets.  Where rows are held at 1 or
+    more, or by a column over ``p``, most rates are at their bound, and ``_fit_held`` fits them.
     """
+    if isinstance(least, Column) or least >= 1:
+        return _fit_held(members, targets, least if isinstance(least, Column) else F.lit(float(least)))
     k, steps, taken = len(targets), [], []
     p = [F.coalesce(F.get("p", F.lit(d)), F.lit(0.0)) for d in range(k)]
     table, rate, last = members.select("tokens", "p"), rate_column([], least), None
@@ -163,8 +180,6 @@ def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0) -> l
         for d in range(k):
             for e in range(d, k):
                 gram[d][e] = gram[e][d] = next(at)
-        if least >= 1 and not any(gram[d][d] for d in range(k)):  # at the start all rates are at the bound
-            gram = _overlap(table, p)
         steps.append(_solve(gram, miss))
         taken.append(steps[-1])
         rate = F.greatest(F.lit(float(least)), rate - sum((p[d] * steps[-1][d] for d in range(k)), F.lit(0.0)))
@@ -173,10 +188,42 @@ def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0) -> l
     return steps
 
 
-def _overlap(table: DataFrame, p: list[Column]) -> list[list[float]]:
-    k = len(p)
-    got = table.agg(*[F.sum(F.col("tokens") * p[d] * p[e]) for d in range(k) for e in range(k)]).first()
-    return [[float(got[d * k + e] or 0) for e in range(k)] for d in range(k)]
+def _fit_held(members: DataFrame, targets: list[float], held: Column) -> list[list[float]]:
+    """One step to the rates over ``held`` that differ least from 1 and meet the targets, as far as they can be met.
+
+    Minimises the squared differences from 1 by tokens and, by 1 / ``RIDGE``, the squared misses: each
+    rate is max(held, 1 + p y), with y the maximum of the concave dual, found by Newton steps, each
+    halved until it gains.  A domain of which there is next to nothing stays short of its target.
+    """
+    k = len(targets)
+    p = [F.coalesce(F.get("p", F.lit(d)), F.lit(0.0)) for d in range(k)]
+    tokens, start = F.col("tokens"), F.greatest(F.lit(1.0), held)
+    ridge, y = RIDGE * max(1.0, sum(targets)), [0.0] * k
+
+    def at(y: list[float]) -> tuple[Column, Column, Column]:
+        move = sum((p[d] * y[d] for d in range(k)), F.lit(0.0))
+        rate = F.greatest(held, start + move)
+        return move, rate, F.sum(tokens * (0.5 * (rate - start) * (rate - start) - move * rate))
+
+    def dual(y: list[float], value: float | None) -> float:
+        return float(value or 0) + sum(t * v - ridge / 2 * v * v for t, v in zip(targets, y, strict=True))
+
+    for _ in range(STEPS if k else 0):
+        move, rate, value = at(y)
+        free = F.when(start + move >= held, tokens).otherwise(0)
+        got = [float(x or 0) for x in members.agg(value, *[F.sum(rate * tokens * p[d]) for d in range(k)], *[F.sum(free * p[d] * p[e]) for d in range(k) for e in range(k)]).first()]
+        rise = [targets[d] - got[1 + d] - ridge * y[d] for d in range(k)]
+        if max(map(abs, rise)) < TOLERANCE * max(1.0, *targets):
+            break
+        step = _solve([[got[1 + k + d * k + e] + ridge * (d == e) for e in range(k)] for d in range(k)], rise)
+        tries = [[v + s / 2**n for v, s in zip(y, step, strict=True)] for n in range(HALVINGS)]
+        values = [dual(z, v) for z, v in zip(tries, members.agg(*[at(z)[2] for z in tries]).first(), strict=True)]
+        gain = sum(r * s for r, s in zip(rise, step, strict=True))
+        better = [n for n, v in enumerate(values) if v >= dual(y, got[0]) + 1e-4 * gain / 2**n]
+        if not better:
+            break
+        y = tries[better[0]]
+    return [[-v for v in y]] if k else []
 
 
 def membership(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,10 +233,11 @@ def membership(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col:
     return written(slim.select("_id", tokens.alias("tokens"), posteriors(*model, "_text").alias("p")), "membership")
 
 
-def target_totals(members: DataFrame, domains: list[str], weights: dict[str, float], keep_all: bool = False) -> list[float]:
+def target_totals(members: DataFrame, domains: list[str], weights: dict[str, float], keep_all: bool = False, clean: str | None = None) -> list[float]:
     """Tokens that each domain should have: its weight of the tokens there are.
 
-    With ``keep_all`` the whole is raised until no domain has to lose tokens.  Weights are scaled to
+    With ``keep_all`` the whole is raised until no domain has to lose tokens, or with ``clean`` until
+    that domain has not.  Weights are scaled to
     sum to 1 over the domains there are; a domain without a weight gets none.
     """
     k = len(domains)
@@ -200,7 +248,7 @@ def target_totals(members: DataFrame, domains: list[str], weights: dict[str, flo
     now = [float(x or 0) for x in members.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(d))) for d in range(k)]).first()]
     whole = sum(now)
     if keep_all:
-        whole = max([whole, *[n / s for n, s in zip(now, share, strict=True) if s]])
+        whole = max([whole, *[n / s for d, n, s in zip(domains, now, share, strict=True) if s and (clean not in domains or d == clean)]])
     return [s * whole for s in share]
 
 
@@ -219,20 +267,22 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: s
     return members.withColumn("rate", rate_column(steps)).select(F.col("_id").alias(id_col), "tokens", *[F.get("p", F.lit(d)).alias(f"p_{name}") for d, name in enumerate(domains)], "rate")
 
 
-def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least: float = 1.0, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", seed: int = 1) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least: float = 1.0, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", seed: int = 1, clean: str | None = None) -> DataFrame:
     """``docs`` with each row as often as its rate says; all columns stay.
 
     A rate of 2.3 gives two copies and a third with probability 0.3, by a hash of id, text and seed.
     With ``least`` 1 no row is lost: the whole grows until no domain has too much, and domains that
-    lack tokens gain copies.  Rates follow from posteriors alone, so the fitted steps are applied to
+    lack tokens gain copies.  With ``clean`` that holds for rows whose likeliest domain is that one;
+    others may go down to rate 0.  Rates follow from posteriors alone, so the fitted steps are applied to
     each row in one pass, without a join on ids.
     """
     model = word_table(docs, labels, id_col, text_col, domain_col)
     members = membership(docs, model, id_col, text_col)
     domains = model[0]
-    steps = fit_rates(members, target_totals(members, domains, weights, keep_all=least >= 1), least)
+    held = least_rate(domains, least, clean)
+    steps = fit_rates(members, target_totals(members, domains, weights, least >= 1, clean), held)
     slim = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     ticket = F.pmod(F.xxhash64(F.lit(seed), "_id", "_text"), F.lit(1 << 30)) / F.lit(1 << 30)
     rated = slim.select("_row", posteriors(*model, "_text").alias("p"), ticket.alias("_ticket"))
-    times = F.floor(rate_column(steps, least) + F.col("_ticket")).cast("int")
+    times = F.floor(rate_column(steps, held) + F.col("_ticket")).cast("int")
     return rated.select("_row", times.alias("_times")).where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

@@ -43,6 +43,37 @@ def test_resampling_keeps_all_rows_and_columns(tables):
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()} and out.count() > docs.count()
 
 
+def test_clean_rows_are_held_and_toxic_ones_go(tables):
+    docs, labels, truth = tables
+    docs = docs.where("doc_id < 900")  # without the one text that outweighs all others
+    weights = {"good": 0.8, "toxic": 0.05, "poor": 0.15}
+    out = mixing.resample(docs, labels, weights, clean="good").collect()
+    got = {k: [r for r in out if truth.get(r.doc_id) == k] for k in weights}
+    ids = {k: {i for i in truth if truth[i] == k} for k in weights}
+    assert ids["good"] <= {r.doc_id for r in out}
+    assert len({r.doc_id for r in got["toxic"]}) < len(ids["toxic"]) / 2
+    model = mixing.word_table(docs, labels, "doc_id", "text", "domain")
+    members = mixing.membership(docs, model)
+    held = mixing.least_rate(model[0], 1.0, "good")
+    targets = mixing.target_totals(members, model[0], weights, True, "good")
+    rated = members.withColumn("rate", mixing.rate_column(mixing.fit_rates(members, targets, held), held)).collect()
+    for d, t in enumerate(targets):
+        assert sum(r.tokens * r.p[d] * r.rate for r in rated) == pytest.approx(t, rel=0.02)
+    assert all(r.rate >= 1 for r in rated if max(r.p) == r.p[model[0].index("good")])
+    assert any(r.rate < 1 for r in rated)
+
+
+def test_pipeline_mixes_by_the_labelled_domains(spark, tmp_path):
+    rows = corpus()
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t, k in rows if k != "poor"], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, int(k != "poor"), int(k == "toxic")) for i, _, k in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()}
+    assert {i for i, _, k in rows if k == "good"} <= kept
+    toxic = {i for i, _, k in rows if k == "toxic"}
+    assert len(kept & toxic) < len(toxic)
+
+
 def test_edges(tables):
     docs, labels, _ = tables
     assert {r.rate for r in mixing.mix(docs, labels.limit(0), {"good": 1.0}).collect()} == {1.0}
