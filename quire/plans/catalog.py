@@ -451,8 +451,8 @@ _docs_query("f_invariants", lambda: F.size(T.extract_invariants("text")).cast("b
     "SELECT a.item_id, levenshtein(left(regexp_replace(a.text, '[^A-Za-z .]', '', 'g'), 60), left(regexp_replace(b.text, '[^A-Za-z .]', '', 'g'), 60)) AS distance FROM benchmark a LEFT JOIN benchmark b ON b.item_id = a.item_id + 1",
 )
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distance of each benchmark passage's opening to the next one's, met by consecutive numbers."""
-    items = I.table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.regexp_replace("text", "[^A-Za-z .]", ""), 1, 60).alias("t"))
+    """Edit distance of each whole benchmark passage to the next one, met by consecutive numbers."""
+    items = I.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
     after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))
     return items.join(after, "item_id", "left").select("item_id", F.levenshtein("t", "u").cast("bigint").alias("distance"))
 
