@@ -319,7 +319,7 @@ def joined_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = I.table(spark, sf_dir, "conversations")
     totals = turns.groupBy("conv_id").agg((F.count("*") + 2).alias("total"))
-    return structure.dense_parts(turns.where("turn % 3 <> 1"), totals, "conv_id", "turn", "text")
+    return structure.dense_parts(turns, totals, "conv_id", "turn", "text")
 
 
 @query(

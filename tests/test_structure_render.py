@@ -71,3 +71,11 @@ def test_preamble(spark):
     assert 'paper: "us-letter"' in text and "columns: 2" in text and "hyphenate: true" in text and r"[A \[b\]]" in text
     d = spark.createDataFrame([('#set text(font: "x")\nq',), ("q",), ("#set text(hyphenate: true)",)], "t string")
     assert [r[0] for r in d.select(render.explicit_hyphenation("t")).collect()] == ['#set text(font: "x", hyphenate: false)\nq', "#set text(hyphenate: false)\nq", "#set text(hyphenate: true)"]
+
+
+def test_dense_parts_keep_every_turn_and_leave_holes(spark, tmp_path):
+    from quire.plans import catalog
+
+    spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 4, "e"), (2, 1, "x")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.text for r in catalog.queries()["s_dense_parts"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): "a", (1, 1): "b", (1, 2): None, (1, 3): None, (1, 4): "e", (2, 0): None, (2, 1): "x", (2, 2): None}
