@@ -105,7 +105,21 @@ def phones(text: str) -> list[Span]:
 
 
 def ibans(text: str) -> list[Span]:
-    return [("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if 15 <= len(x := m[0].replace(" ", "")) <= 34 and mod97(x)]
+    """Of each candidate the longest start that passes, among the whole and those that end where a token does."""
+    out: list[Span] = []
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.end()
+        ends = [m.end(), *[m.start() + k for k in range(len(m[0]) - 1, 0, -1) if m[0][k] == " "]]
+        for end in ends:
+            x = text[m.start() : end].replace(" ", "")
+            if 15 <= len(x) <= 34 and mod97(x):
+                out.append(("iban", m.start(), end))
+                at = end
+                break
+        else:  # another one may begin at a later token of the candidate
+            at = m.start() + k if (k := m[0].find(" ")) > 0 else m.end()
+    return out
 
 
 def score(text: str, span: Span) -> float:
@@ -129,11 +143,11 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
         added += [("ssn", m.start(), m.end()) for m in _SSN.finditer(text)]
         added += [("local_phone", m.start(), m.end()) for m in _LOCAL_PHONE.finditer(text)]
     out = [(*s, score(text, s)) for s in base]
-    taken = [(a, z) for _, a, z in base]
+    taken = [(k, a, z) for k, a, z in base]
     for s in added:
-        if all(s[2] <= a or z <= s[1] for a, z in taken) and (sure := score(text, s)) >= THRESHOLD:
+        if all(s[2] <= a or z <= s[1] or (s[0], k) == ("iban", "card") for k, a, z in taken) and (sure := score(text, s)) >= THRESHOLD:
             out.append((*s, sure))
-            taken.append((s[1], s[2]))
+            taken.append(s)
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

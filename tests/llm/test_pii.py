@@ -52,6 +52,18 @@ def test_added_kinds_need_checksum_or_context():
     assert pii.redact("mail a@b.co or +49 30 1234567!", pii.find("mail a@b.co or +49 30 1234567!")) == "mail <email> or <phone>!"
 
 
+def test_ibans_with_tokens_behind_and_over_cards():
+    found = lambda t: [t[s[1] : s[2]] for s in pii.find(t) if s[0] == "iban"]
+    whole, parts = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    for behind in (" BIC COBADEFFXXX", " 2024", " OK", "", " and so on"):
+        assert found(f"IBAN {whole}{behind}") == [whole] and found(f"IBAN {parts}{behind}") == [parts]
+    assert found(f"IBAN {whole} {whole}") == [whole, whole]
+    assert found("IBAN DE89370400440532013001 OK") == []
+    digits = next(f"1234569876543{d}" for d in range(10) if pii.luhn(f"1234569876543{d}"))
+    over = next(x for c in range(2, 99) if pii.mod97(x := f"GB{c:02d}WEST{digits}"))
+    assert [s[0] for s in pii.find(f"IBAN {over}")] == ["card", "iban"]
+
+
 def test_query_columns(spark):
     rows = [(1, "a@b.co 10.0.0.1 é"), (2, None), (3, ""), (None, "x 4111 1111 1111 1111"), (1, "a@b.co 10.0.0.1 é")]
     docs = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, spans string, n_ip int")
