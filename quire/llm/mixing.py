@@ -14,11 +14,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality import let, words
+from .quality import let
 from .shared import written
 
-#: Fixed characters that are taken for spaces when words are told apart here.
-MARKS = ".,;:!?%*#$&|<>()"
+#: What separates words here: white space and marks.
+SEPARATORS = r"[ \t-\r.,;:!?%*#$&|<>()]+"
+#: Fixed characters that count as symbols of style.
+STYLE_SYMBOLS = "[!|#*$%&<>]+"
 
 #: Labelled rows that the classifier learns from at most, by a hash of their id.
 SAMPLE_LABELS = 20_000
@@ -34,47 +36,49 @@ RIDGE, HALVINGS = 1e-4, 8
 SOFTNESS = 0.5
 
 
-def tokens_of(text_col: str) -> Column:
-    """Hashes of a text's distinct words, without marks and in lower case, and of its style.
+def profile(text_col: str, known: Column | None = None) -> Column:
+    """``n, found``: the words of a text, and its distinct words in lower case with its style, as far as ``known``.
 
-    Style is told by symbols and capitals for each word, the words' size and how many differ, in steps.
+    Style is told by symbols and capitals for each word, the words' size and how many differ, in steps;
+    its names hold blanks, which no word does.  The text is split once.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = words(F.lower(F.translate(text, MARKS, " " * len(MARKS))))
-    count = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    without = lambda chars: F.length(text) - F.length(F.regexp_replace(text, chars, ""))
 
     def step(name: str, value: Column, width: float, top: int) -> Column:
-        return F.xxhash64(F.lit(f"style {name}"), F.least(F.lit(top), F.floor(value / width).cast("int")))
+        return F.concat(F.lit(f" {name} "), F.least(F.lit(top), F.floor(value / width).cast("int")).cast("string"))
 
-    def both(hashes: Column) -> Column:
-        n = F.greatest(F.lit(1), F.size(hashes))
-        return let(F.array_distinct(hashes), lambda distinct: F.concat(distinct, F.array(
-            step("symbols", count("!|#*$%&<>") / n, 0.1, 6),
-            step("capitals", count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / n, 0.3, 6),
-            step("size", F.length(text) / n, 1.0, 14),
-            step("variety", F.size(distinct) / n, 0.1, 10),
-        )))
+    def found(words: Column, distinct: Column) -> Column:
+        n = F.size(words) - F.when(words[0] == "", 1).otherwise(0) - F.when((F.size(words) > 1) & (F.element_at(words, -1) == ""), 1).otherwise(0)
+        per = F.greatest(F.lit(1), n)
+        every = F.concat(distinct, F.array(
+            step("symbols", without(STYLE_SYMBOLS) / per, 0.1, 6),
+            step("capitals", without("[A-Z]+") / per, 0.3, 6),
+            step("size", F.length(text) / per, 1.0, 14),
+            step("variety", F.size(distinct) / per, 0.1, 10),
+        ))
+        return F.struct(n.cast("bigint").alias("n"), (every if known is None else F.array_intersect(every, known)).alias("found"))
 
-    return let(F.transform(plain, lambda x: F.xxhash64(x)), both)
+    return let(F.split(F.lower(text), SEPARATORS), lambda words: let(F.array_distinct(words), lambda distinct: found(words, distinct)))
 
 
-def word_table(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_col: str) -> tuple[list[str], list[int], list[list[float]]]:
+def word_table(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_col: str) -> tuple[list[str], list[str], list[list[float]]]:
     """Bernoulli naive Bayes over a lexicon, from at most ``SAMPLE_LABELS`` labelled documents.
 
-    Returns domains, the lexicon's hashes, and by domain a weight for each of them, with the weight of
+    Returns domains, the lexicon's tokens, and by domain a weight for each of them, with the weight of
     a text without any in front.  The lexicon holds what deviates most from an even spread over domains.
     """
     named = labels.where(F.col(id_col).isNotNull() & F.col(domain_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(domain_col).cast("string").alias("_domain"))
     chosen = named.orderBy(F.xxhash64("_id"), "_id", "_domain").limit(SAMPLE_LABELS)
     own = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), F.col("_i") == F.col("_id"))  # at most SAMPLE_LABELS short rows
-    learned = written(own.select("_domain", tokens_of("_t").alias("b")), "labelled")
+    learned = written(own.select("_domain", profile("_t")["found"].alias("b")), "labelled")
     shares = {r[0]: r[1] for r in learned.groupBy("_domain").count().collect()}  # a row for each domain
     domains = sorted(shares)
     if not domains:
         return [], [], []
     total = sum(shares.values())
     seen = [F.count_if(F.col("_domain") == d).alias(f"n{k}") for k, d in enumerate(domains)]
-    counted = learned.select("_domain", F.explode("b").alias("b")).groupBy("b").agg(F.count("*").alias("n"), *seen).where(F.col("n") >= LEAST_DOCS)
+    counted = learned.select("_domain", F.explode("b").alias("b")).where("b != ''").groupBy("b").agg(F.count("*").alias("n"), *seen).where(F.col("n") >= LEAST_DOCS)
     part = F.col("n") / total
     far = F.greatest(*[F.abs(F.col(f"n{k}") - shares[d] * part) / F.sqrt(shares[d] * part * (1 - part) + 0.25) for k, d in enumerate(domains)], F.lit(0.0))
     lift = F.greatest(*[F.col(f"n{k}") / (shares[d] * part) for k, d in enumerate(domains)], F.lit(0.0))
@@ -88,15 +92,18 @@ def word_table(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, d
 
 
 def _numbers(values: list[float]) -> Column:
-    return F.expr(f"array({','.join(f'{v:.9g}D' for v in values)})")
+    return F.split(F.lit(" ".join(f"{v:.9g}" for v in values)), " ").cast("array<double>")
 
 
-def posteriors(domains: list[str], lexicon: list[int], weights: list[list[float]], text_col: str = "text") -> Column:
-    """Array of a text's posteriors by domain, from which of the lexicon's tokens it has."""
+def _known(lexicon: list[str]) -> Column:
+    return F.array(*[F.lit(x) for x in lexicon]) if lexicon else F.expr("cast(array() as array<string>)")
+
+
+def posteriors(domains: list[str], lexicon: list[str], weights: list[list[float]], found: Column) -> Column:
+    """Array of posteriors by domain, from the lexicon's tokens that :func:`profile` found in a text."""
     if not domains:
         return F.expr("cast(array() as array<double>)")
-    known = F.expr(f"array({','.join(f'{x}L' if x > -(1 << 63) else '-9223372036854775807L' for x in lexicon)})") if lexicon else F.expr("cast(array() as array<bigint>)")
-    places = F.transform(F.array_intersect(tokens_of(text_col), known), lambda x: F.array_position(known, x).cast("int"))
+    known = _known(lexicon)
 
     def odds(at: Column) -> Column:
         return F.array(*[F.lit(w[0]) + _looked_up(at, _numbers(w)) for w in weights])
@@ -104,7 +111,7 @@ def posteriors(domains: list[str], lexicon: list[int], weights: list[list[float]
     def softmax(x: Column) -> Column:
         return let(F.transform(x, lambda v: F.exp(v - F.array_max(x))), lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, w: s + w)))
 
-    return let(let(places, odds), softmax)
+    return let(let(F.transform(found, lambda x: F.array_position(known, x).cast("int")), odds), softmax)
 
 
 def _looked_up(places: Column, values: Column) -> Column:
@@ -196,41 +203,46 @@ def _fit_held(members: DataFrame, targets: list[float], held: Column) -> list[li
     halved until it gains.  A domain of which there is next to nothing stays short of its target.
     """
     k = len(targets)
+    if not k:
+        return []
     p = [F.coalesce(F.get("p", F.lit(d)), F.lit(0.0)) for d in range(k)]
-    tokens, start = F.col("tokens"), F.greatest(F.lit(1.0), held)
     ridge, y = RIDGE * max(1.0, sum(targets)), [0.0] * k
-
-    def at(y: list[float]) -> tuple[Column, Column, Column]:
-        move = sum((p[d] * y[d] for d in range(k)), F.lit(0.0))
-        rate = F.greatest(held, start + move)
-        return move, rate, F.sum(tokens * (0.5 * (rate - start) * (rate - start) - move * rate))
-
-    def dual(y: list[float], value: float | None) -> float:
-        return float(value or 0) + sum(t * v - ridge / 2 * v * v for t, v in zip(targets, y, strict=True))
-
-    for _ in range(STEPS if k else 0):
-        move, rate, value = at(y)
-        free = F.when(start + move >= held, tokens).otherwise(0)
-        got = [float(x or 0) for x in members.agg(value, *[F.sum(rate * tokens * p[d]) for d in range(k)], *[F.sum(free * p[d] * p[e]) for d in range(k) for e in range(k)]).first()]
+    rows = members.select("tokens", "p", held.alias("held")).select("*", F.greatest(F.lit(1.0), "held").alias("start"))
+
+    def sums(y: list[float]) -> tuple[float, list[float], list[list[float]]]:
+        """The dual's value, slope and curvature; the numbers are passed as one array, so that all steps share their compiled code."""
+        move = F.aggregate(F.zip_with("p", _numbers(y), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+        moved = rows.select("*", move.alias("move")).select("*", F.greatest(F.col("held"), F.col("start") + F.col("move")).alias("rate"))
+        rate, away, tokens = F.col("rate"), F.col("rate") - F.col("start"), F.col("tokens")
+        free = F.when(F.col("start") + F.col("move") >= F.col("held"), tokens).otherwise(0)
+        own = [F.sum(tokens * (0.5 * away * away - F.col("move") * rate)), *[F.sum(rate * tokens * p[d]) for d in range(k)], *[F.sum(free * p[d] * p[e]) for d in range(k) for e in range(k)]]
+        got = [float(x or 0) for x in moved.agg(*own).first()]
+        value = got[0] + sum(t * v - ridge / 2 * v * v for t, v in zip(targets, y, strict=True))
         rise = [targets[d] - got[1 + d] - ridge * y[d] for d in range(k)]
+        return value, rise, [[got[1 + k + d * k + e] + ridge * (d == e) for e in range(k)] for d in range(k)]
+
+    now = sums(y)
+    for _ in range(STEPS):
+        value, rise, bend = now
         if max(map(abs, rise)) < TOLERANCE * max(1.0, *targets):
             break
-        step = _solve([[got[1 + k + d * k + e] + ridge * (d == e) for e in range(k)] for d in range(k)], rise)
-        tries = [[v + s / 2**n for v, s in zip(y, step, strict=True)] for n in range(HALVINGS)]
-        values = [dual(z, v) for z, v in zip(tries, members.agg(*[at(z)[2] for z in tries]).first(), strict=True)]
+        step = _solve(bend, rise)
         gain = sum(r * s for r, s in zip(rise, step, strict=True))
-        better = [n for n, v in enumerate(values) if v >= dual(y, got[0]) + 1e-4 * gain / 2**n]
-        if not better:
+        for n in range(HALVINGS):
+            tried = [v + s / 2**n for v, s in zip(y, step, strict=True)]
+            now = sums(tried)
+            if now[0] >= value + 1e-4 * gain / 2**n:
+                y = tried
+                break
+        else:
             break
-        y = tries[better[0]]
-    return [[-v for v in y]] if k else []
+    return [[-v for v in y]]
 
 
-def membership(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A stored table ``_id, tokens, p`` with a row for each row of ``docs``."""
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    tokens = F.size(words(F.coalesce("_text", F.lit("")))).cast("bigint")
-    return written(slim.select("_id", tokens.alias("tokens"), posteriors(*model, "_text").alias("p")), "membership")
+def membership(docs: DataFrame, model: tuple, text_col: str = "text", **kept: Column) -> DataFrame:
+    """A stored table ``tokens, p`` and the columns ``kept``, with a row for each row of ``docs``; each text is read once."""
+    own = let(profile(text_col, _known(model[1])), lambda x: F.struct(x["n"].alias("tokens"), posteriors(*model, x["found"]).alias("p")))
+    return written(docs.select(*[c.alias(name) for name, c in kept.items()], own.alias("_m")), "membership").select(*kept, "_m.tokens", "_m.p")
 
 
 def target_totals(members: DataFrame, domains: list[str], weights: dict[str, float], keep_all: bool = False, clean: str | None = None) -> list[float]:
@@ -262,7 +274,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], id_col: s
     an empty table gives an empty result.
     """
     model = word_table(docs, labels, id_col, text_col, domain_col)
-    domains, members = model[0], membership(docs, model, id_col, text_col)
+    domains, members = model[0], membership(docs, model, text_col, _id=F.col(id_col))
     steps = fit_rates(members, target_totals(members, domains, weights))
     return members.withColumn("rate", rate_column(steps)).select(F.col("_id").alias(id_col), "tokens", *[F.get("p", F.lit(d)).alias(f"p_{name}") for d, name in enumerate(domains)], "rate")
 
@@ -277,12 +289,10 @@ def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], leas
     each row in one pass, without a join on ids.
     """
     model = word_table(docs, labels, id_col, text_col, domain_col)
-    members = membership(docs, model, id_col, text_col)
+    ticket = F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(1 << 30)) / F.lit(1 << 30)
+    members = membership(docs, model, text_col, _row=F.struct(*docs.columns), _ticket=ticket)
     domains = model[0]
     held = least_rate(domains, least, clean)
     steps = fit_rates(members, target_totals(members, domains, weights, least >= 1, clean), held)
-    slim = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    ticket = F.pmod(F.xxhash64(F.lit(seed), "_id", "_text"), F.lit(1 << 30)) / F.lit(1 << 30)
-    rated = slim.select("_row", posteriors(*model, "_text").alias("p"), ticket.alias("_ticket"))
     times = F.floor(rate_column(steps, held) + F.col("_ticket")).cast("int")
-    return rated.select("_row", times.alias("_times")).where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
+    return members.select("_row", times.alias("_times")).where("_times > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

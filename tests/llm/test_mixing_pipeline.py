@@ -53,7 +53,7 @@ def test_clean_rows_are_held_and_toxic_ones_go(tables):
     assert ids["good"] <= {r.doc_id for r in out}
     assert len({r.doc_id for r in got["toxic"]}) < len(ids["toxic"]) / 2
     model = mixing.word_table(docs, labels, "doc_id", "text", "domain")
-    members = mixing.membership(docs, model)
+    members = mixing.membership(docs, model, "text")
     held = mixing.least_rate(model[0], 1.0, "good")
     targets = mixing.target_totals(members, model[0], weights, True, "good")
     rated = members.withColumn("rate", mixing.rate_column(mixing.fit_rates(members, targets, held), held)).collect()
