@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from .shared import written
 
 
-def _state(links: DataFrame) -> tuple:
-    """Tells whether two tables hold the same links."""
-    row = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _both(links: DataFrame) -> DataFrame:
+    return links.union(links.select("v", "u"))
 
 
-def large_star(links: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are linked to the smallest of its neighbours and itself."""
-    both = links.union(links.select("v", "u"))
-    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star")
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+def nodes(links: DataFrame) -> DataFrame:
+    """Per node ``u``: the least of its neighbours and itself (``m``), and whether it lies in a star.
+
+    A node does if it is a centre, with larger neighbours only, or a leaf, with one neighbour, a smaller one.
+    """
+    seen = _both(links).groupBy("u").agg(F.min("v").alias("a"), F.count("*").alias("n"))
+    return seen.select("u", F.least("u", "a").alias("m"), ((F.col("a") > F.col("u")) | (F.col("n") == 1)).alias("star"))
+
+
+def large_star(links: DataFrame, least: DataFrame) -> DataFrame:
+    """Each node's larger neighbours are linked to the smallest of its neighbours and itself; links may repeat."""
+    return _both(links).where("v > u").join(least.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
 
 
 def small_star(links: DataFrame) -> DataFrame:
@@ -28,17 +33,18 @@ def small_star(links: DataFrame) -> DataFrame:
     return others.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, ordered: bool = False) -> DataFrame:
     """``u, v``: every node of ``links`` (columns ``u, v``) but the smallest of its component, and that smallest.
 
-    Links from a node to itself and repeated links are passed over; links with a null end too.
+    Links from a node to itself and repeated links are passed over; links with a null end too.  With
+    ``ordered`` the caller vouches that links are stored, distinct and lead from large to small.  The
+    links are done when every node lies in a star, which the count of neighbours tells that a round
+    begins with.
     """
-    now = written(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = None
+    now = links if ordered else written(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     for _ in range(rounds):
-        state = _state(now)
-        if state == before or not state[0]:
+        least = written(nodes(now), "star")
+        if least.where("NOT star").isEmpty():
             return now
-        before = state
-        now = written(small_star(large_star(now)), "links")
+        now = written(small_star(large_star(now, least)), "links")
     raise RuntimeError(f"no fixed point after {rounds} rounds")

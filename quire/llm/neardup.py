@@ -8,7 +8,8 @@
    already connected needs no look.  A family that is small enough is one unit of work.
 4. Of a larger family the links of step 2 are confirmed first, pair by pair.  What that leaves outside
    of its largest component is compared, in blocks, with the whole family.
-5. The components of all confirmed links, by alternating large-star and small-star, are the groups.
+5. Components, of star links as of confirmed ones, are found by alternating large-star and small-star;
+   no link leads out of a family, so those of a small one are found where its links are.
 
 ``BANDS`` of ``ROWS`` minima miss a pair of similarity 0.75 with probability (1 - 0.75**4)**32, about
 5 in a million, and signatures pass over one in a million; nothing else is approximate.
@@ -21,9 +22,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .components import components
-from .shared import written
+from .shared import free_name, written
 from .tokens import by_bytes, strings
 
 WORDS = 5
@@ -104,12 +106,21 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (minima(hashes) & np.uint64(255)).astype(np.uint8)
 
 
-def links_within(sets: list[np.ndarray], labels: np.ndarray, asking: np.ndarray) -> list[tuple[int, int]]:
-    """Confirmed links that join what ``labels`` hold apart: each ``asking`` text against all others."""
-    found: list[tuple[int, int]] = []
+def merged(sets: list[np.ndarray], labels: np.ndarray, asking: np.ndarray) -> np.ndarray:
+    """The labels after confirmed links joined them: each ``asking`` text against all that bear other labels.
+
+    Joined labels become the smallest of them.
+    """
     labels = labels.copy()
+
+    def join(x: int, y: int) -> None:
+        low, high = sorted((labels[x], labels[y]))
+        labels[labels == high] = low
+
     if len(sets) == 2:
-        return [(0, 1)] if labels[0] != labels[1] and similar(*sets) else []
+        if labels[0] != labels[1] and similar(*sets):
+            join(0, 1)
+        return labels
     signatures = np.stack([signature(s) for s in sets])
     sizes = np.array([len(s) for s in sets])
     done = np.zeros(len(sets), bool)
@@ -122,9 +133,8 @@ def links_within(sets: list[np.ndarray], labels: np.ndarray, asking: np.ndarray)
         agree = (signatures[others] == signatures[x]).sum(axis=1)
         for y in others[agree >= LEAST_AGREE].tolist():
             if labels[y] != labels[x] and similar(sets[x], sets[y]):
-                found.append((int(x), y))
-                labels[labels == labels[y]] = labels[x]
-    return found
+                join(x, y)
+    return labels
 
 
 def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -153,31 +163,37 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.mapInArrow(run, "i long, n long, f1 long, f2 long, keys array<long>")
 
 
-def _family_links(rows: DataFrame) -> DataFrame:
-    """Confirmed links ``u, v`` inside each unit of ``unit, i, comp, asking, t``; units may span batches."""
+def _unit_links(rows: DataFrame) -> DataFrame:
+    """Links ``u, v`` between the ``comp`` that texts join inside each unit of ``unit, i, comp, asking, t``.
+
+    Each leads to the smallest that a unit joins.  Units may span batches.
+    """
 
-    def solve(ids: list[int], comps: list[int], asking: list[bool], texts: list[str]) -> list[tuple[int, int]]:
-        if len(ids) < 2:
+    def solve(comps: list[int], asking: list[bool], texts: list[str]) -> list[tuple[int, int]]:
+        if len(comps) < 2:
             return []
-        sets = [shingles(words_of(t)) for t in texts]
-        return [(ids[a], ids[b]) for a, b in links_within(sets, np.array(comps), np.array(asking))]
+        before = np.array(comps)
+        after = merged([shingles(words_of(t)) for t in texts], before, np.array(asking))
+        return sorted({(a, b) for a, b in zip(comps, after.tolist(), strict=True) if a != b})
+
+    def table(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     def run(batches):
-        unit, held = None, ([], [], [], [])
+        unit, held = None, ([], [], [])
         for b in batches:
             found = []
-            for u, *row in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            for u, *row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if u != unit:
                     found += solve(*held)
-                    unit, held = u, ([], [], [], [])
+                    unit, held = u, ([], [], [])
                 for column, value in zip(held, row, strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
-        found = solve(*held)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            yield table(found)
+        yield table(solve(*held))
 
     text = F.coalesce("t", F.lit(""))
-    return rows.select("unit", "i", "comp", "asking", text.alias("t")).repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "u long, v long")
+    return rows.select("unit", "comp", "asking", text.alias("t")).repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "u long, v long")
 
 
 def _confirmed(pairs: DataFrame) -> DataFrame:
@@ -197,14 +213,17 @@ def _confirmed(pairs: DataFrame) -> DataFrame:
     return pairs.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
-def _large_family_links(members: DataFrame, stars: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Links in families over a block's bounds: their star links, then what these leave apart, in blocks."""
+def _large_family_labels(members: DataFrame, stars: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``u, v`` with the smallest of its group for the texts of families over a block's bounds.
+
+    Their star links come first, then what these leave apart, in blocks; links found there join groups
+    of the first step, and only these take part in the second search for components.
+    """
     text = members.select("i", "t")
-    pairs = stars.join(members.select(F.col("i").alias("u")), "u", "left_semi")
-    first = pairs.join(text.select(F.col("i").alias("u"), F.col("t").alias("tu")), "u")
+    first = stars.join(text.select(F.col("i").alias("u"), F.col("t").alias("tu")), "u")
     known = written(_confirmed(first.join(text.select(F.col("i").alias("v"), F.col("t").alias("tv")), "v")), "star-links")
-    label = components(known)
-    placed = written(members.join(label.select(F.col("u").alias("i"), F.col("v").alias("comp")), "i", "left").select("fam", "i", F.coalesce("comp", "i").alias("comp")), "placed")
+    label = components(known, ordered=True)
+    placed = written(members.select("fam", "i").join(label.select(F.col("u").alias("i"), F.col("v").alias("comp")), "i", "left").select("fam", "i", F.coalesce("comp", "i").alias("comp")).distinct(), "placed")
     counted = placed.groupBy("fam", "comp").agg(F.count("*").alias("n"))
     main = counted.groupBy("fam").agg(F.max(F.struct("n", F.col("comp").alias("main"))).alias("x"), F.sum("n").alias("total")).select("fam", "x.main", (F.col("total") - F.col("x.n")).alias("rest"))
     plan = written(main.where("rest > 0").join(sizes, "fam").select("fam", "main", F.ceil(F.col("rest") / BLOCK_TEXTS).cast("int").alias("asks"), "blocks"), "blocks")
@@ -215,8 +234,9 @@ def _large_family_links(members: DataFrame, stars: DataFrame, sizes: DataFrame)
     rest = rows.select("*", every("asks").alias("r"), (ticket % F.col("blocks")).alias("a"), F.lit(False).alias("asking"))
     unit = F.xxhash64("fam", "r", "a")
     # A text that asks in a unit and also lies in its block stands there twice, with one label: it is never compared with itself.
-    both = ask.union(rest).select(unit.alias("unit"), "i", "comp", "asking", "t")
-    return known.union(_family_links(both))
+    both = ask.union(rest).select(unit.alias("unit"), "comp", "asking", "t")
+    joined = components(_unit_links(both)).select(F.col("u").alias("comp"), "v")
+    return placed.join(joined, "comp", "left").select(F.col("i").alias("u"), F.coalesce("v", "comp").alias("v")).where("u != v")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,27 +244,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null and empty texts and texts without words have no shingles and no links.  Rows that share an id
     but not their words are grouped each by its own text; if both represent copies they count as one
-    node.  A row without an id is linked with nothing: its component is
+    node.  Ids are whole numbers, since the smallest names a group: other types raise a TypeError.  A row without an id is linked with nothing: its component is
     null and it is kept.  Other columns are left out; an empty table gives an empty result.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers")
     found = written(features(docs, id_col, text_col), "minhash")
     full = found.where("n > 0 AND i IS NOT NULL")
     copies = written(full.groupBy("f1", "f2").agg(F.min("i").alias("rid"), F.count("*").alias("c")).where("c > 1").select("f1", "f2", "rid"), "copies")
     texts = full.join(copies, ["f1", "f2"], "left").where("rid IS NULL OR rid = i").select("i", F.explode("keys").alias("key"))
     centres = written(texts.groupBy("key").agg(F.min("i").alias("c"), F.max("i").alias("z")).where("c < z").select("key", F.col("c").alias("v")), "centres")
     stars = written(texts.join(centres, "key").where("i != v").select(F.col("i").alias("u"), "v").distinct(), "star-candidates")
-    families = components(stars)
+    families = components(stars, ordered=True)
     member = families.select(F.col("u").alias("i"), F.col("v").alias("fam")).union(families.select(F.col("v").alias("i"), F.col("v").alias("fam")).distinct())
     text = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    members = written(text.join(written(member, "members").hint("merge"), "i").select("fam", "i", "t").dropDuplicates(["i", "t"]), "families")
+    members = written(text.join(member.hint("merge"), "i").select("fam", "i", "t").dropDuplicates(["i", "t"]), "families")
     sizes = members.groupBy("fam").agg(F.count("*").alias("m"), F.sum(F.octet_length("t")).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     large = written(sizes.select("fam", blocks.alias("blocks")).where("blocks > 1"), "large")
     small = members.join(large, "fam", "left_anti")
-    links = _family_links(small.select(F.col("fam").alias("unit"), "i", F.col("i").alias("comp"), F.lit(True).alias("asking"), "t"))
+    label = _unit_links(small.select(F.col("fam").alias("unit"), F.col("i").alias("comp"), F.lit(True).alias("asking"), "t"))
     if not large.isEmpty():
-        links = links.union(_large_family_links(members.join(large, "fam", "left_semi"), stars, large))
-    label = components(links)
+        label = label.union(_large_family_labels(members.join(large, "fam", "left_semi"), stars, large))
     named = found.join(copies, ["f1", "f2"], "left").select("i", "n", F.when(F.col("n") > 0, F.coalesce("rid", "i")).otherwise(F.col("i")).alias("u"))
     done = named.join(label, "u", "left").select("i", "n", F.coalesce("v", "u").alias("component_id"))
     return done.select(
@@ -254,5 +275,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id represents a group; all columns stay.  Nulls as in :func:`near_groups`."""
-    gone = near_groups(docs, id_col, text_col).groupBy(F.col(id_col).alias("_gone")).agg(F.bool_or("kept").alias("_kept")).where("NOT _kept").select("_gone")
-    return docs.join(written(gone, "gone"), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(docs.columns, "_gone")
+    gone = near_groups(docs, id_col, text_col).groupBy(F.col(id_col).alias(name)).agg(F.bool_or("kept").alias("_kept")).where("NOT _kept").select(name)
+    return docs.join(written(gone, "gone"), F.col(id_col).cast("long") == F.col(name), "left_anti")
