@@ -79,3 +79,41 @@ def test_dense_parts_keep_every_turn_and_leave_holes(spark, tmp_path):
     spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 4, "e"), (2, 1, "x")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {(r.conv_id, r.turn): r.text for r in catalog.queries()["s_dense_parts"](spark, str(tmp_path)).collect()}
     assert got == {(1, 0): "a", (1, 1): "b", (1, 2): None, (1, 3): None, (1, 4): "e", (2, 0): None, (2, 1): "x", (2, 2): None}
+
+
+def test_every_symbol_is_converted():
+    """Each command alone, beside another one and before a letter that would make it a longer one."""
+    for name, shown in render.SYMBOLS.items():
+        assert render.latex_math(f"\\{name}")[0] == f"{shown} ", name
+        assert render.latex_math(f"\\{name}\\alpha x")[0] == f"{shown} alpha  x", name
+        assert render.latex_math(f"\\{name}q")[0] == f"\\{name}q" or f"{name}q" in render.SYMBOLS, name
+    assert len(render.SYMBOLS) == 122
+    assert render.latex_math(r"\left(\frac{\partial f}{\partial x}\right) \leq \hbar")[0] == "(frac(diff  f, diff  x)) <=  planck.reduce "
+
+
+def test_passages_are_restored_and_revisions_rebased():
+    canonical = "# Titolo\n\nuno due tre quattro\n\ncinque sei sette otto"
+    edited = "= Titolo\n\nuno due tre quattro (mio)\n\ncinque sette"
+    assert render.restore_passage(edited, canonical, "cinque sei sette otto") == "= Titolo\n\nuno due tre quattro (mio)\n\ncinque sei sette otto"
+    assert render.restore_passage(edited, canonical, "del tutto altro") is None and render.restore_passage("", canonical, "cinque sei sette otto") is None
+    revised = canonical.replace("sei", "6")
+    assert render.rebase_revision("= Titolo\n\nmio\n\ncinque sei sette otto", canonical, revised) == "= Titolo\n\nmio\n\ncinque 6 sette otto"
+    assert render.rebase_revision("altro", canonical, revised) is None and render.rebase_revision("x", canonical, canonical) == "x"
+
+
+def test_replacing_every_hit():
+    assert render.replace_every("Pane pane panepane", "PANE", "x") == ("x x xx", 4) and render.replace_every("Pane panepane", "pane", "x", True) == ("x panepane", 1)
+
+
+def test_plan_choices(spark):
+    d = spark.createDataFrame([("ptserif", "deep", None), ("comic", None, True), (None, "odd", False)], "font string, indent string, noindent boolean")
+    assert [(r.font, r.indent, r.extras, r.paper) for r in structure.valid_choices(d).collect()] == [("ptserif", "deep", [], "a4"), ("libertinus", "none", ["noindent"], "a4"), ("libertinus", "normal", [], "a4")]
+
+
+def test_highlighted_words_and_sizes(spark):
+    from quire.functions import text as T
+
+    d = spark.createDataFrame([("Uno e uno due", ["due", "uno due"]), ("niente", [])], "t string, w array<string>")
+    assert [r[0] for r in d.select(T.highlighted("t", F.col("w"))).collect()] == [["Uno e ", "uno due"], ["niente"]]
+    s = spark.createDataFrame([(3.0, 4.0, 1.0), (0.0, 0.0, 7.0), (None, None, None)], "a double, b double, h double")
+    assert [r[0] for r in s.select(T.font_size(F.col("a"), F.col("b"), F.col("h"))).collect()] == [5.0, 7.0, 0.0]
