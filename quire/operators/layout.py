@@ -127,6 +127,18 @@ def column_gap(blocks: DataFrame, by: list[str], lo: str = "xmin", hi: str = "xm
     return wide.groupBy(*by).agg(F.max_by(F.col("end") + F.col("gap") / 2, F.struct("gap", "lo")).alias("cut"))
 
 
+def bands(blocks: DataFrame, wide: float = 0.45) -> DataFrame:
+    """``doc_id, page, block_idx, band``: how many wide blocks lie above each narrow one.
+
+    A running count over both by height; blocks without a box have no band.
+    """
+    b = blocks.where("xmin IS NOT NULL").select("doc_id", "page", "block_idx", (F.col("xmax") - F.col("xmin")).alias("w"), ((F.col("ymin") + F.col("ymax")) / 2).alias("cy"))
+    above = Window.partitionBy("doc_id", "page").orderBy("cy").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    at = Window.partitionBy("doc_id", "page", "cy")
+    is_wide = (F.col("w") >= wide).cast("bigint")
+    return b.withColumn("band", F.sum(is_wide).over(above) - F.sum(is_wide).over(at)).where(F.col("w") < wide).select("doc_id", "page", "block_idx", "band")
+
+
 # Reading order of a page; items are dicts of a block's fields, in input order.
 
 
@@ -360,3 +372,53 @@ def paragraph_numbers(lines: DataFrame, factor: float = 1.8) -> DataFrame:
     marked = lines.join(body_size(lines), "doc_id")
     new = F.coalesce(F.abs(F.lag("y").over(page) - F.col("y")) > factor * F.col("body"), F.lit(True)) | (F.floor(F.col("size") + 0.5) >= 1.12 * F.col("body"))
     return marked.withColumn("_new", new.cast("int")).withColumn("paragraph", F.sum("_new").over(page)).drop("_new", "body")
+
+
+def layer_markdown(lines: DataFrame) -> DataFrame:
+    """``doc_id, text``: a text layer as Markdown, or null where a document has next to none.
+
+    ``lines`` is what :func:`text_lines` gives.  Empty lines go.  A line of at most 120 characters in a
+    heading's size is a heading; other lines are paragraphs, parted where they stand further apart than
+    1.8 body sizes, with a mark before each page if there are several.  Sizes are counted over lines of
+    four characters or more; under 20 characters a page, or 40 in all, there is no text layer.
+    """
+    texts = lines.withColumn("text", F.coalesce("text", F.lit("")))
+    sized = texts.where(F.length("text") >= 4)
+    enough = texts.groupBy("doc_id").agg(F.sum(F.length("text")).alias("chars"), F.countDistinct("page").alias("pages"))
+    own = texts.where("text != ''").withColumn("rounded", F.floor(F.col("size") + 0.5))
+    marked = own.join(body_size(sized), "doc_id", "left").join(heading_sizes(sized), ["doc_id", "rounded"], "left")
+    page = Window.partitionBy("doc_id", "page").orderBy("line_no")
+    level = F.when(F.length("text") <= 120, F.col("level"))
+    marked = marked.withColumn("level", level)
+    new = F.lag("y").over(page).isNull() | F.col("level").isNotNull() | F.lag("level").over(page).isNotNull() | (F.abs(F.lag("y").over(page) - F.col("y")) > 1.8 * F.coalesce("body", F.lit(0)))
+    numbered = marked.withColumn("_new", new.cast("int")).withColumn("_block", F.sum("_new").over(page))
+    in_order = lambda key, what, glue: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, what))), lambda x: x[what]), glue)
+    blocks = numbered.groupBy("doc_id", "page", "_block").agg(F.max("level").alias("level"), in_order("line_no", "text", " ").alias("t"))
+    shown = blocks.withColumn("t", F.when(F.col("level").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("level").cast("int")), F.lit(" "), F.col("t"))).otherwise(F.col("t")))
+    pages = texts.select("doc_id", "page").distinct().join(shown.groupBy("doc_id", "page").agg(in_order("_block", "t", "\n\n").alias("t")), ["doc_id", "page"], "left").join(enough, "doc_id")
+    mark = F.when(F.col("pages") > 1, F.concat(F.lit("<!-- pagina "), (F.col("page") + 1).cast("string"), F.lit(" -->")))
+    whole = pages.withColumn("p", F.concat_ws("\n\n", mark, "t")).where("p != ''").groupBy("doc_id").agg(in_order("page", "p", "\n\n").alias("text"))
+    there = F.col("chars") >= F.greatest(F.lit(40), F.col("pages") * 20)
+    return enough.join(whole, "doc_id", "left").select("doc_id", F.when(there & (F.coalesce("text", F.lit("")) != ""), F.col("text")).alias("text"))
+
+
+def without_figures(docs: DataFrame, dropped: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, text`` without the lines that show dropped figures (``key, path``), and no more than one blank line in a row."""
+    line = r"^!\[[^\]]*\]\(([^)]+)\)$"
+    gone = dropped.groupBy(key).agg(F.collect_set("path").alias("_gone"))
+    kept = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: ~F.array_contains("_gone", F.regexp_extract(F.trim(x), line, 1)) | (F.regexp_extract(F.trim(x), line, 1) == ""))
+    cleaned = F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n"))
+    return docs.join(gone, key, "left").select(key, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(cleaned).alias("text"))
+
+
+def prepared_pages(pages: DataFrame, edits: DataFrame, key: str = "doc_id", order: str = "page") -> DataFrame:
+    """``key, place, order, half``: the pages that edits leave, in order; one that is split gives two.
+
+    ``edits`` (``key, order, rotate, split``) meets pages by index; a page without one stays as it is.
+    ``half`` is 0 and 1 for the sides of a split page, else null; ``rotate`` is 0 where nothing is said.
+    """
+    both = pages.select(key, order).join(edits.select(key, order, "rotate", "split"), [key, order], "left")
+    halves = F.when(F.coalesce("split", F.lit(False)), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(None).cast("int")))
+    each = both.select(key, order, F.coalesce("rotate", F.lit(0)).alias("rotate"), F.explode(halves).alias("half"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order, "half")) - 1
+    return each.select(key, place.alias("place"), order, "rotate", "half")

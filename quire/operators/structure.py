@@ -94,7 +94,8 @@ def enforce_heading_levels(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def outlines(docs: DataFrame, key: str = "doc_id", order: str = "chunk_idx", body: str = "body") -> DataFrame:
     """For each chunk the headings in force before it, one a level: ``key, order, outline``.
 
-    The latest heading of each level counts, unless a shallower one came after it.
+    The latest heading of each level counts, unless a shallower one came after it.  A document's
+    headings are folded once, in order.
     """
     heads = docs.select(key, order, F.posexplode(F.split(F.coalesce(body, F.lit("")), "\n")).alias("n", "line"))
     heads = heads.withColumn("marks", F.regexp_extract(F.ltrim("line"), r"^(=+)\s+", 1)).where("marks != ''")
@@ -102,11 +103,20 @@ def outlines(docs: DataFrame, key: str = "doc_id", order: str = "chunk_idx", bod
     title = F.concat_ws(" ", "marks", F.regexp_replace(F.ltrim("line"), r"^=+\s+", ""))
     by_chunk = heads.groupBy(key, order).agg(F.array_sort(F.collect_list(F.struct("n", level.alias("level"), title.alias("title")))).alias("heads"))
     chunks = docs.select(key, order).join(by_chunk, [key, order], "left")
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.flatten(F.collect_list("heads").over(before))
-    start = F.expr("cast(array() as array<struct<level:int,title:string>>)")
-    stack = F.aggregate(seen, start, lambda s, h: F.concat(F.filter(s, lambda x: x["level"] < h["level"]), F.array(F.struct(h["level"].alias("level"), h["title"].alias("title")))))
-    return chunks.select(key, order, F.array_join(F.transform(stack, lambda x: x["title"]), "\n").alias("outline"))
+    own = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.coalesce("heads", F.expr("cast(array() as array<struct<n:int,level:int,title:string>>)")).alias("heads")))).alias("c"))
+    none = "cast(array() as array<struct<level:int,title:string>>)"
+    kind = docs.schema[order].dataType.simpleString()
+    start = F.struct(F.expr(none).alias("stack"), F.expr(f"cast(array() as array<struct<`{order}`:{kind},outline:string>>)").alias("done"))
+
+    def put(stack: Column, head: Column) -> Column:
+        return F.concat(F.filter(stack, lambda x: x["level"] < head["level"]), F.array(F.struct(head["level"].alias("level"), head["title"].alias("title"))))
+
+    def step(s: Column, c: Column) -> Column:
+        outline = F.array_join(F.transform(s["stack"], lambda x: x["title"]), "\n")
+        return F.struct(F.aggregate(c["heads"], s["stack"], put).alias("stack"), F.concat(s["done"], F.array(F.struct(c[order].alias(order), outline.alias("outline")))).alias("done"))
+
+    folded = F.aggregate("c", start, step, lambda s: s["done"])
+    return own.select(key, F.explode(folded).alias("x")).select(key, f"x.{order}", "x.outline")
 
 
 def chunk_array(c: Column | str, most: int = 5000) -> Column:
@@ -181,14 +191,26 @@ def join_parts(parts: DataFrame, key: str, order: str, text: str, glue: str = "\
     return kept.groupBy(key).agg(joined.alias("text"))
 
 
-def dense_parts(parts: DataFrame, totals: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """Every index up to the stated total or the largest there is, with null where no part is."""
+def dense_parts(parts: DataFrame, totals: DataFrame, key: str, order: str, text: str, most: int = 1_000_000) -> DataFrame:
+    """Every index up to the stated total or the largest there is, with null where no part is.
+
+    Indexes are made in runs of 1,000, so no row holds more of them.  A total over ``most`` raises an error
+    rather than fill the disk.
+    """
     top = parts.groupBy(key).agg((F.max(order) + 1).alias("_top"))
-    size = totals.join(top, key, "left").select(key, F.greatest("total", F.coalesce("_top", F.lit(0))).alias("n"))
-    index = size.where("n > 0").select(key, F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias(order))
+    n = F.greatest("total", F.coalesce("_top", F.lit(0))).cast("bigint")
+    size = totals.join(top, key, "left").select(key, F.when(n > most, F.raise_error(F.format_string(f"over {most} parts in one document"))).otherwise(n).cast("bigint").alias("n"))
+    runs = size.where("n > 0").select(key, "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 1000))).alias("_run"))
+    index = runs.select(key, F.explode(F.sequence((F.col("_run") * 1000).cast("int"), (F.least(F.col("n"), F.col("_run") * 1000 + 1000) - 1).cast("int"))).alias(order))
     return index.join(parts.select(key, order, text), [key, order], "left")
 
 
+def line_offsets(lines_: DataFrame, key: str = "doc_id", order: str = "n", text: str = "line") -> DataFrame:
+    """``key, order, start``: characters of a document before each line, ends of lines counted."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return lines_.select(key, order, F.coalesce(F.sum(F.length(text) + 1).over(before), F.lit(0)).alias("start"))
+
+
 #: Fixed choices of a layout plan, the default first.
 CHOICES = {
     "font": ("libertinus", "newcm", "ptserif", "ptsans", "dejavu"),
@@ -211,6 +233,19 @@ def pick_choice(name: str, value: Column) -> Column:
     return F.when(value.isin(*CHOICES[name]), value).otherwise(CHOICES[name][0])
 
 
+def valid_choices(proposed: DataFrame) -> DataFrame:
+    """Every choice of a plan's columns held to what there is; ``extras`` is "noindent" alone or empty.
+
+    An asked-for absence of indents also changes the default indent.  Unknown or missing columns get the default.
+    """
+    asked = F.coalesce(F.col("noindent"), F.lit(False)) if "noindent" in proposed.columns else F.lit(False)
+    value = lambda name: F.col(name) if name in proposed.columns else F.lit(None).cast("string")
+    picked = {name: pick_choice(name, value(name)) for name in CHOICES}
+    picked["indent"] = F.when(value("indent").isin(*CHOICES["indent"]), value("indent")).otherwise(F.when(asked, "none").otherwise(CHOICES["indent"][0]))
+    extras = F.when(asked, F.array(F.lit("noindent"))).otherwise(F.expr("cast(array() as array<string>)"))
+    return proposed.withColumns(picked | {"extras": extras})
+
+
 def valid_styles(proposed: DataFrame, descriptors: DataFrame, key: str = "doc_id", order: str = "pos") -> DataFrame:
     """``key, id, style``: the first known style proposed for each prose block."""
     prose = descriptors.where("kind = 'prose'").select(key, "id")

@@ -23,6 +23,16 @@ def bucket(id_: Column) -> Column:
     return F.pmod(F.xxhash64(id_), F.lit(BUCKETS)).cast("int")
 
 
+def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The last row of each key, by the columns ``order``; a maximum aggregates before the shuffle, which a row number can't."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("r")).select("r.*")
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of documents that aren't among ``ids``."""
+    return rows.join(ids.select(key).distinct(), key, "left_anti")
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -52,17 +62,22 @@ class Store:
         if id_ is not None:
             number = self.spark.range(1).select(bucket(F.lit(id_))).first()[0]
             rows = rows.where((F.col("bucket") == number) & (F.col("id") == id_))
-        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct("updated_at", "deleted")).alias("r"))
-        return last.select("r.*").where("NOT deleted").select(*columns, "updated_at")
+        return latest(rows, keys, "updated_at", "deleted").where("NOT deleted").select(*columns, "updated_at")
 
     def delete(self, ids: DataFrame) -> None:
         """Removes documents from every table by appending their deletion."""
-        for name, (_, keys) in TABLES.items():
-            gone = self.read(name).join(ids.select("id").distinct(), "id", "left_semi").select(*keys)
-            columns = [c.split() for c in TABLES[name][0].split(", ")]
-            empty = [F.col(c) if c in keys else F.lit(None).cast(k).alias(c) for c, k in columns]
-            rows = gone.select(*empty, F.current_timestamp().alias("updated_at"), F.lit(True).alias("deleted"), bucket(F.col("id")).alias("bucket"))
-            rows.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        for name in TABLES:
+            self.delete_rows(name, ids.select("id"))
+
+    def delete_rows(self, name: str, keys: DataFrame) -> None:
+        """Removes rows of one table: all of the given documents (``id``), or single pages or figures (all key columns)."""
+        own = TABLES[name][1]
+        by = [k for k in own if k in keys.columns]
+        gone = self.read(name).join(keys.select(*by).distinct(), by, "left_semi").select(*own)
+        columns = [c.split() for c in TABLES[name][0].split(", ")]
+        empty = [F.col(c) if c in own else F.lit(None).cast(k).alias(c) for c, k in columns]
+        rows = gone.select(*empty, F.current_timestamp().alias("updated_at"), F.lit(True).alias("deleted"), bucket(F.col("id")).alias("bucket"))
+        rows.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     def parts(self, totals: DataFrame) -> DataFrame:
         """Every page up to the total of its document (id, total), null where none is saved."""
@@ -90,3 +105,13 @@ def migrate(sessions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records that hold their pages in an array, as (records without it, parts, summaries)."""
     parts = sessions.select("id", F.posexplode("ocr.parts").alias("index", "text")).where(F.coalesce("text", F.lit("")) != "")
     return sessions.withColumn("ocr", F.col("ocr").dropFields("parts")), parts, summary(sessions)
+
+
+def in_list_order(summaries: DataFrame) -> DataFrame:
+    """Session summaries, the last changed first; without a time last, and by id among equals."""
+    return summaries.orderBy(F.desc_nulls_last("updated_at"), "id")
+
+
+def resumable(summaries: DataFrame) -> DataFrame:
+    """The last changed session that has a status and isn't done: one row, or none."""
+    return in_list_order(summaries.where((F.coalesce("status", F.lit("")) != "") & (F.col("status") != "done"))).limit(1)
