@@ -86,3 +86,49 @@ def first_json(text: str):
     if start < 0:
         raise ValueError("no JSON in the answer")
     return json.JSONDecoder().raw_decode(text[start:])[0]
+
+
+def outer_json(text: str):
+    """What stands from the first opening brace to the last closing one, read as JSON."""
+    start, end = (text or "").find("{"), (text or "").rfind("}")
+    if start < 0 or end <= start:
+        raise ValueError("no JSON in the answer")
+    return json.loads(text[start : end + 1])
+
+
+#: Fixed address for endpoints that can't be read.
+MODELS_URL = "https://integrate.api.nvidia.com/v1/models"
+
+
+def models_url(endpoint: Column) -> Column:
+    """Where a service lists its models, from the address where it answers; its query is dropped."""
+    host = F.regexp_extract(endpoint, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    path = F.regexp_replace(F.regexp_extract(endpoint, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1), r"/chat/completions/?$", "/models")
+    return F.when(F.coalesce(host, F.lit("")) == "", MODELS_URL).otherwise(F.concat(host, F.when(path.endswith("/models"), path).otherwise("/v1/models")))
+
+
+def matching_models(names: DataFrame, query: str, column: str = "name") -> DataFrame:
+    """Names that hold a text, without regard to case; all of them if none does, which one aggregate tells."""
+    hit = F.contains(F.lower(column), F.lit(query.strip().lower()))
+    some = names.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("_some"))
+    return names.join(F.broadcast(some), hit | ~F.col("_some")).drop("_some")  # a single row
+
+
+def reviewed_differences(answers: DataFrame, issues: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, id, classification, explanation`` of proposed classes (``keys, id, classification, explanation``).
+
+    Only for issues that were asked about, with a known class; explanations are cut at 240 characters.
+    """
+    known = answers.where(F.col("classification").isin("real_omission", "extraction_artifact", "uncertain"))
+    cut = F.left(F.coalesce("explanation", F.lit("")), F.lit(240)).alias("explanation")
+    return known.join(issues.select(*keys, "id").distinct(), [*keys, "id"], "left_semi").select(*keys, "id", "classification", cut)
+
+
+def passage_choice(choice: Column, text: Column, canonical: Column) -> Column:
+    """Struct of what an answer chose for a passage and the text that follows from it; null text where it proposes none.
+
+    Unknown choices count as the canonical text.
+    """
+    picked = F.when(choice.isin("artifact", "canonical", "proposal"), choice).otherwise("canonical")
+    chosen = F.when(picked == "proposal", F.coalesce(text, F.lit(""))).otherwise(canonical)
+    return F.struct(picked.alias("choice"), F.when((picked == "artifact") | (F.trim(chosen) != ""), chosen).alias("text"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from quire.external import ask, with_retry
 from quire.settings import Settings
 from quire.sources import files, responses
-from quire.sources.store import Store, migrate
+from quire.sources.store import Store, migrate, resumable
+from quire.streaming.chunks import process_chunks
 from quire.streaming.ingest import progress, save_parts
 
 PNG = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 640, 480)
@@ -47,6 +48,11 @@ def test_store_and_stream(spark, tmp_path):
     assert store.read("part", "b").count() == 1
     store.delete(spark.createDataFrame([("a",)], "id string"))
     assert [r.id for r in store.read("part").collect()] == ["b"]
+    store.save("figure", spark.createDataFrame([("b", "f1"), ("b", "f2")], "id string, path string").selectExpr("id", "path", "cast(null AS binary) AS bytes", "80 AS width_pct", "false AS junk"))
+    store.delete_rows("figure", spark.createDataFrame([("b", "f1")], "id string, path string"))
+    assert [(r.id, r.path) for r in store.read("figure").collect()] == [("b", "f2")]
+    sessions = spark.createDataFrame([("a", "done", 9), ("b", "ocr", 3), ("c", "ocr", 5), ("d", None, 8)], "id string, status string, updated_at int")
+    assert [r.id for r in resumable(sessions).collect()] == ["c"] and resumable(sessions.where("id = 'd'")).count() == 0
     blocks = "doc_id long, page int, block_idx int, type string, xmin double, ymin double, xmax double, ymax double, text string"
     spark.createDataFrame([(7, 0, 0, "Title", 0.1, 0.1, 0.9, 0.2, "T"), (7, 1, 0, "Text", 0.1, 0.3, 0.9, 0.4, "prosa")], blocks).write.parquet(f"{tmp_path}/in")
     for _ in range(2):  # a second run finds nothing new
@@ -78,3 +84,50 @@ def test_external_and_settings(spark):
     got = ask(spark.createDataFrame([(1, "x"), (2, "bad")], "k int, prompt string"), lambda p: p.upper() if p != "bad" else 1 / 0, "k", "prompt").orderBy("k").collect()
     assert (got[0].answer, got[0].error) == ("X", None) and got[1].answer is None and "zero" in got[1].error
     assert Settings.read({"max_pages": "99999", "chunk_size": "x", "strict": "0"}) == Settings(2000, 5000, 2600, False)
+
+
+def test_settings_are_put_right_and_stored():
+    got = Settings.read({"ocr_engine": "other", "fix_engine": "gemini", "max_pages": "12abc", "chunk_size": "-4", "fix_typos": "0", "compare_ocr": "yes", "vision_model": "old", "endpoint": "https://ai.api.nvidia.com/v1/gr/meta/nemotron-parse-1.1"})
+    assert (got.ocr_engine, got.fix_engine, got.max_pages, got.chunk_size, got.fix_typos, got.compare_ocr) == ("nvidia", "gemini", 12, 1000, False, False)
+    assert got.vision_ocr_model == got.vision_markup_model == "old" and got.endpoint == Settings().endpoint
+    kept = got.stored()
+    assert kept["fix_typos"] == "0" and kept["max_pages"] == "12" and "ocr_key" not in kept and Settings.read(kept) == got
+
+
+def test_addresses_models_and_reviews(spark):
+    d = spark.createDataFrame([("https://x.org/v1/chat/completions?a=1",), ("https://x.org/chat/completions/",), ("https://x.org/other",), ("nothing",)], "u string")
+    assert [r[0] for r in d.select(responses.models_url(F.col("u"))).collect()] == ["https://x.org/v1/models", "https://x.org/models", "https://x.org/v1/models", responses.MODELS_URL]
+    names = spark.createDataFrame([("Alpha",), ("beta",)], "name string")
+    assert [r.name for r in responses.matching_models(names, "ALP").collect()] == ["Alpha"] and responses.matching_models(names, "zz").count() == 2
+    issues = spark.createDataFrame([(1, "diff-1")], "k int, id string")
+    answers = spark.createDataFrame([(1, "diff-1", "uncertain", "x" * 300), (1, "diff-2", "uncertain", ""), (1, "diff-1", "odd", "")], "k int, id string, classification string, explanation string")
+    assert [len(r.explanation) for r in responses.reviewed_differences(answers, issues, ["k"]).collect()] == [240]
+    p = spark.createDataFrame([("proposal", "new"), ("proposal", " "), ("odd", "new"), ("artifact", None)], "c string, t string")
+    assert [tuple(r[0]) for r in p.select(responses.passage_choice(F.col("c"), F.col("t"), F.lit("old"))).collect()] == [("proposal", "new"), ("proposal", None), ("canonical", "old"), ("artifact", "old")]
+    assert responses.outer_json('a {"b": {"c": 1}} d') == {"b": {"c": 1}}
+
+
+def test_chunks_follow_each_other_and_the_best_attempt_stays(spark, tmp_path):
+    kept_at = iter(range(1000))
+
+    def kept(t):
+        path = f"{tmp_path}/t{next(kept_at)}"
+        t.write.parquet(path)
+        return spark.read.parquet(path)
+
+    long = "alfa beta gamma delta epsilon zeta eta theta. "
+
+    def model(prompt):
+        text, preamble, outline, note = prompt.split("|")
+        if "FAIL" in text:
+            raise RuntimeError("broken")
+        if "HARD" in text and not note:
+            return "= Solo titolo"
+        return ("#set x\n" if not preamble and "primo" in text else "") + text.replace("# ", "== ")
+
+    rows = [(1, 0, f"# primo\n{long}"), (1, 1, f"HARD {long}"), (2, 0, "FAIL"), (2, 1, long)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_idx int, text string")
+    got = {(r.doc_id, r.chunk_idx): r for r in process_chunks(chunks, model, lambda *c: F.concat_ws("|", *c), kept).collect()}
+    assert set(got) == {(1, 0), (1, 1), (2, 0)} and got[2, 0].status == "error"
+    assert got[1, 0].preamble == "#set x" and got[1, 0].body.startswith("= primo") and got[1, 0].coverage == 1.0
+    assert got[1, 1].coverage == 1.0 and got[1, 1].body.startswith("HARD") and got[1, 1].status == "done"
