@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import boundaries, compare, layout, render, repair, structure
 from quire.plans import inputs as I
-from quire.sources import files, responses
+from quire.sources import files, responses, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -126,9 +126,39 @@ def shingle_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ready.select("doc_id", F.size("a").cast("bigint").alias("n_shingles"), F.size(F.array_intersect("a", "b")).cast("bigint").alias("n_common"))
 
 
-@query("c4_fidelity")
+_STRIPPED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({c}, ''), '(?s)<!--.*?-->', ' ', 'g'), '</?[a-zA-Z][^>]*>', ' ', 'g'), '!\[([^\]]*)\]\([^)]*\)', ' \1 ', 'g'), '(?m)^#{{1,6}}[ \t]+', '', 'g'), '\\begin\{{[^}}]*\}}|\\end\{{[^}}]*\}}', ' ', 'g')"
+_ROUGH = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace({c}, '([.!?…])\s+', '\1' || chr(1), 'g'), '\n{{2,}}', chr(1), 'g'), chr(1)), lambda p: trim(p)), lambda p: p <> '')"
+_FWORDS = f"list_filter(string_split({_FID}, ' '), lambda q: q <> '')"
+
+
+def _sentences_sql(text: str, rows: str) -> str:
+    """SQL for a list of sentences, short ones joined to what comes behind: a fold over (done, current)."""
+    folded = f"list_reduce(list_transform(r, lambda p: {{'d': []::VARCHAR[], 'c': p}}), lambda a, x: CASE WHEN len({_FWORDS.format(c='a.c')}) < 8 THEN {{'d': a.d, 'c': a.c || ' ' || x.c}} ELSE {{'d': list_append(a.d, a.c), 'c': x.c}} END)"
+    return f"SELECT *, CASE WHEN len(r) = 0 THEN []::VARCHAR[] ELSE list_append(f.d, f.c) END AS sentences FROM (SELECT *, CASE WHEN len(r) > 0 THEN {folded} END AS f FROM (SELECT *, {_ROUGH.format(c=text)} AS r FROM {rows}))"
+
+
+_SHINGLES3 = "list_distinct(list_transform(range(1, greatest(len({w}) - 1, 1)), lambda i: {w}[i] || ' ' || {w}[i + 1] || ' ' || {w}[i + 2]))"
+_FIDELITY_SQL = f"""WITH p AS (SELECT doc_id, {_STRIPPED.format(c='source')} AS t, {_FWORDS.format(c='output')} AS ow FROM ({I.PAIRS_SQL})),
+  s AS (SELECT doc_id, unnest(sentences) AS sentence, o FROM ({_sentences_sql('t', f"(SELECT *, {_SHINGLES3.format(w='ow')} AS o FROM p)")})),
+  w AS (SELECT doc_id, w, o FROM (SELECT doc_id, {_FWORDS.format(c='sentence')} AS w, o FROM s) WHERE len(w) >= 4),
+  h AS (SELECT doc_id, len(w) AS weight, len(list_intersect(g, o)) / len(g) >= 0.55 AS found FROM (SELECT doc_id, w, o, {_SHINGLES3.format(w='w')} AS g FROM w))
+  SELECT p.doc_id, coalesce(x.covered / x.total, 1.0) AS coverage, CAST(coalesce(x.lost, 0) AS BIGINT) AS n_missing FROM p LEFT JOIN (
+    SELECT doc_id, sum(weight) AS total, coalesce(sum(weight) FILTER (WHERE found), 0) AS covered, count(*) FILTER (WHERE NOT found) AS lost FROM h GROUP BY doc_id) x USING (doc_id)"""
+
+
+@query("c4_fidelity", _FIDELITY_SQL)
 def fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.fidelity(I.pairs(spark, sf_dir), ["doc_id"])
+    return compare.fidelity(I.pairs(spark, sf_dir), ["doc_id"]).drop("missing")
+
+
+@query(
+    "a11_coverage_by_language",
+    f"""SELECT lang, min(coverage) AS least_coverage, CAST(sum(n_missing) AS BIGINT) AS n_missing, count(*) FILTER (WHERE coverage < 0.98 AND n_missing > 0) AS n_shown, bool_and(n_missing = 0) AS all_whole, bool_or(n_missing = 0) AS any_whole
+    FROM ({_FIDELITY_SQL}) JOIN documents USING (doc_id) GROUP BY lang""",
+)
+def coverage_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = compare.fidelity(I.pairs(spark, sf_dir), ["doc_id"]).drop("missing").join(_docs(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+    return compare.coverage_summary(rows, ["lang"])
 
 
 @query("c5_token_sequences")
@@ -245,13 +275,60 @@ def assemble_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, page, block_idx, (SELECT count(*) FROM b w WHERE w.w >= 0.45 AND n.doc_id = w.doc_id AND n.page = w.page AND n.cy > w.cy) AS band FROM b n WHERE n.w < 0.45""",
 )
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many wide blocks lie above each narrow one: a running count over both by height, no range join."""
-    b = I.blocks(spark, sf_dir).where("xmin IS NOT NULL").select("doc_id", "page", "block_idx", (F.col("xmax") - F.col("xmin")).alias("w"), ((F.col("ymin") + F.col("ymax")) / 2).alias("cy"))
-    above = Window.partitionBy("doc_id", "page").orderBy("cy").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    at = Window.partitionBy("doc_id", "page", "cy")
-    wide = (F.col("w") >= 0.45).cast("bigint")
-    counted = b.withColumn("band", F.sum(wide).over(above) - F.sum(wide).over(at))
-    return counted.where("w < 0.45").select("doc_id", "page", "block_idx", "band")
+    return layout.bands(I.blocks(spark, sf_dir))
+
+
+# Text layers
+
+
+@query(
+    "a4_mode_of_rounded",
+    "SELECT l_suppkey, rounded FROM (SELECT l_suppkey, rounded, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, first) AS r FROM (SELECT l_suppkey, floor(l_quantity + 0.5)::BIGINT AS rounded, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY ALL)) WHERE r = 1",
+)
+def mode_of_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = I.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line_no"), F.col("l_quantity").alias("size"))
+    return layout.body_size(lines).select(F.col("doc_id").alias("l_suppkey"), F.col("body").alias("rounded"))
+
+
+def _body_sql(where: str = "TRUE") -> str:
+    return f"SELECT doc_id, rounded AS body FROM (SELECT doc_id, rounded, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS r FROM (SELECT doc_id, CAST(floor(size + 0.5) AS BIGINT) AS rounded, count(*) AS n, min(page * 1000000 + line_no) AS first FROM ({I.LAYER_SQL}) WHERE {where} GROUP BY ALL)) WHERE r = 1"
+
+
+def _levels_sql(where: str = "TRUE") -> str:
+    return f"SELECT doc_id, rounded, least(dense_rank() OVER (PARTITION BY doc_id ORDER BY rounded DESC), 4) AS level FROM (SELECT DISTINCT doc_id, CAST(floor(size + 0.5) AS BIGINT) AS rounded FROM ({I.LAYER_SQL}) WHERE {where}) JOIN ({_body_sql(where)}) USING (doc_id) WHERE rounded >= 1.12 * body"
+
+
+@query("w4_heading_sizes", _levels_sql())
+def heading_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.heading_sizes(I.layer_lines(spark, sf_dir))
+
+
+@query(
+    "w7_paragraphs",
+    f"""SELECT doc_id, page, line_no, CAST(sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS BIGINT) AS paragraph FROM (
+      SELECT l.doc_id, page, line_no, CASE WHEN coalesce(abs(lag(y) OVER (PARTITION BY l.doc_id, page ORDER BY line_no) - y) > 1.8 * body, TRUE) OR floor(size + 0.5) >= 1.12 * body THEN 1 ELSE 0 END AS fresh FROM ({I.LAYER_SQL}) l JOIN ({_body_sql()}) USING (doc_id))""",
+)
+def paragraph_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.paragraph_numbers(I.layer_lines(spark, sf_dir)).select("doc_id", "page", "line_no", "paragraph")
+
+
+_SIZED = "length(text) >= 4"
+
+
+@query(
+    "r_layer_markdown",
+    f"""WITH l AS ({I.LAYER_SQL}), own AS (SELECT l.doc_id, page, line_no, y, text, body, CASE WHEN length(text) <= 120 THEN level END AS level FROM l LEFT JOIN ({_body_sql(_SIZED)}) b ON b.doc_id = l.doc_id LEFT JOIN ({_levels_sql(_SIZED)}) h ON h.doc_id = l.doc_id AND h.rounded = floor(l.size + 0.5) WHERE text <> ''),
+    marked AS (SELECT *, CASE WHEN lag(y) OVER w IS NULL OR level IS NOT NULL OR lag(level) OVER w IS NOT NULL OR abs(lag(y) OVER w - y) > 1.8 * coalesce(body, 0) THEN 1 ELSE 0 END AS fresh FROM own WINDOW w AS (PARTITION BY doc_id, page ORDER BY line_no)),
+    numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, page ORDER BY line_no) AS k FROM marked),
+    blocks AS (SELECT doc_id, page, k, CASE WHEN max(level) IS NULL THEN '' ELSE repeat('#', CAST(max(level) AS INT)) || ' ' END || string_agg(text, ' ' ORDER BY line_no) AS t FROM numbered GROUP BY doc_id, page, k),
+    pages AS (SELECT doc_id, page, string_agg(t, chr(10) || chr(10) ORDER BY k) AS t FROM blocks GROUP BY doc_id, page),
+    totals AS (SELECT doc_id, sum(length(text)) AS chars, count(DISTINCT page) AS pages FROM l GROUP BY doc_id),
+    every AS (SELECT d.doc_id, d.page, concat_ws(chr(10) || chr(10), CASE WHEN pages > 1 THEN '<!-- pagina ' || (d.page + 1) || ' -->' END, t) AS p FROM (SELECT DISTINCT doc_id, page FROM l) d LEFT JOIN pages USING (doc_id, page) JOIN totals USING (doc_id)),
+    whole AS (SELECT doc_id, string_agg(p, chr(10) || chr(10) ORDER BY page) AS text FROM every WHERE p <> '' GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN chars >= greatest(40, pages * 20) AND coalesce(text, '') <> '' THEN text END AS text FROM totals LEFT JOIN whole USING (doc_id)""",
+)
+def layer_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.layer_markdown(I.layer_lines(spark, sf_dir))
 
 
 # Structure
@@ -263,8 +340,9 @@ def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
       THEN least(6, len(string_split(regexp_extract(line, '^#{{1,6}}\s+\s*(\d+(?:\.\d+){{0,5}})[.)]?\s+', 1), '.'))) ELSE length(regexp_extract(line, '^(#{{1,6}})\s+', 1)) END AS INT) AS depth FROM ({I.MARKED_SQL})) WHERE depth > 0""",
 )
 def heading_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = I.marked_lines(spark, sf_dir).withColumn("depth", structure.heading_depth(F.col("line"))).where("depth IS NOT NULL")
-    return heads.select("doc_id", F.col("n").alias("line_no"), "depth", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("depth")).alias("level"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
+    docs = I.marked_lines(spark, sf_dir).groupBy("doc_id").agg(F.array_join(lines, "\n").alias("text"))
+    return structure.heading_ranks(docs).select("doc_id", "line_no", "depth", "level")
 
 
 _MARKED_DOC_SQL = f"SELECT doc_id, string_agg(line, chr(10) || chr(10) ORDER BY n) AS text FROM ({I.MARKED_SQL}) GROUP BY doc_id"
@@ -280,17 +358,41 @@ def block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.describe_blocks(I.marked_documents(spark, sf_dir)).select("doc_id", "id", "kind")
 
 
-@query("s_normalized_headings")
+@query(
+    "s_normalized_headings",
+    rf"""WITH h AS ({_SQL['w3_heading_ranks']}) SELECT l.doc_id, string_agg(CASE WHEN h.level IS NULL THEN line WHEN regexp_matches(line, '^#{{1,6}}\s+\s*\d+(?:\.\d+){{0,5}}[.)]?\s+') THEN repeat('#', CAST(h.level AS INT)) || ' ' || regexp_replace(line, '^#{{1,6}}\s+', '')
+      ELSE repeat('#', CAST(h.level AS INT)) || regexp_replace(line, '^#{{1,6}}', '') END, chr(10) || chr(10) ORDER BY l.n) AS text FROM ({I.MARKED_SQL}) l LEFT JOIN h ON h.doc_id = l.doc_id AND h.line_no = l.n GROUP BY l.doc_id""",
+)
 def normalized_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.normalize_heading_levels(I.marked_documents(spark, sf_dir))
 
 
-@query("w8_chunks")
+def _chunks_sql(rows: str, most: int) -> str:
+    """SQL for pieces of at most ``most`` characters: a fold over (done, current) of paragraphs, and of long ones' sentences."""
+    sentences = r"string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+    units = f"flatten(list_transform(string_split_regex(t, '\\n\\n+'), lambda p: CASE WHEN length(p) > {most} THEN list_transform({sentences}, lambda s, i: {{'d': []::VARCHAR[], 'c': s, 'g': CASE WHEN i = 1 THEN '|' ELSE ' ' END}}) ELSE [{{'d': []::VARCHAR[], 'c': p, 'g': chr(10) || chr(10)}}] END))"
+    full = f"(a.c <> '' AND (x.g = '|' OR length(a.c) + length(x.c) + length(x.g) > {most}))"
+    folded = f"list_reduce({units}, lambda a, x: {{'d': CASE WHEN {full} THEN list_append(a.d, a.c) ELSE a.d END, 'c': CASE WHEN {full} OR a.c = '' THEN x.c ELSE a.c || x.g || x.c END, 'g': ''}})"
+    return f"""SELECT doc_id, CAST(i - 1 AS INT) AS chunk_idx, k[i] AS text FROM (SELECT doc_id, k, unnest(range(1, len(k) + 1)) AS i FROM (
+      SELECT doc_id, CASE WHEN length(t) <= {most} THEN [t] WHEN f.c <> '' THEN list_append(f.d, f.c) ELSE f.d END AS k FROM (SELECT doc_id, t, CASE WHEN length(t) > {most} THEN {folded} END AS f FROM (
+        SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM {rows}))))"""
+
+
+@query("w8_chunks", _chunks_sql("documents", 5000))
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.chunks(_docs(spark, sf_dir), most=5000)
 
 
-@query("w11_outlines")
+_BODIES_SQL = rf"SELECT doc_id, chunk_idx, regexp_replace(text, '(?m)^#(\s)', '=\1', 'g') AS body FROM ({_chunks_sql(f'({_MARKED_DOC_SQL})', 2000)})"
+
+
+@query(
+    "w11_outlines",
+    rf"""WITH b AS ({_BODIES_SQL}), h AS (SELECT doc_id, chunk_idx, n, length(regexp_extract(line, '^(=+)\s+', 1)) AS level, regexp_extract(line, '^(=+)\s+', 1) || ' ' || regexp_replace(line, '^=+\s+', '') AS title FROM (
+      SELECT doc_id, chunk_idx, n, ltrim(l[n]) AS line FROM (SELECT doc_id, chunk_idx, l, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, chunk_idx, string_split(body, chr(10)) AS l FROM b))) WHERE regexp_matches(line, '^=+\s')),
+    k AS (SELECT h.*, (SELECT min(o.chunk_idx) FROM h o WHERE o.doc_id = h.doc_id AND o.level <= h.level AND (o.chunk_idx > h.chunk_idx OR (o.chunk_idx = h.chunk_idx AND o.n > h.n))) AS until FROM h)
+    SELECT b.doc_id, b.chunk_idx, coalesce(string_agg(k.title, chr(10) ORDER BY k.chunk_idx, k.n), '') AS outline FROM b LEFT JOIN k ON k.doc_id = b.doc_id AND k.chunk_idx < b.chunk_idx AND (k.until IS NULL OR b.chunk_idx <= k.until) GROUP BY b.doc_id, b.chunk_idx""",
+)
 def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunked = structure.chunks(I.marked_documents(spark, sf_dir), most=2000).select("doc_id", "chunk_idx", F.regexp_replace("text", r"(?m)^#(?=\s)", "=").alias("body"))
     return structure.outlines(chunked)
@@ -312,7 +414,7 @@ def joined_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s_dense_parts",
-    """WITH p AS (SELECT conv_id, turn, text FROM conversations WHERE turn % 3 <> 1), t AS (SELECT conv_id, count(*) + 2 AS total FROM conversations GROUP BY conv_id),
+    """WITH p AS (SELECT conv_id, turn, text FROM conversations), t AS (SELECT conv_id, count(*) + 2 AS total FROM conversations GROUP BY conv_id),
     n AS (SELECT t.conv_id, greatest(total, coalesce(top, 0)) AS n FROM t LEFT JOIN (SELECT conv_id, max(turn) + 1 AS top FROM p GROUP BY conv_id) USING (conv_id))
     SELECT i.conv_id, i.turn, p.text FROM (SELECT conv_id, unnest(range(0, n)) AS turn FROM n) i LEFT JOIN p ON i.conv_id = p.conv_id AND i.turn = p.turn""",
 )
@@ -362,15 +464,39 @@ def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
-    return words.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n")).join(_dictionary(spark, sf_dir), "word", "left_anti")
+    return repair.unlisted(words, _dictionary(spark, sf_dir), "w")
+
+
+def _quoted(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _correct_sql(words: str) -> str:
+    """SQL for ``word, correct`` of a query that gives distinct ``word``."""
+    bases = f"list_filter(list_transform({_quoted(repair.ENCLITICS)}, lambda s: CASE WHEN length(lower(word)) > length(s) + 3 AND ends_with(lower(word), s) THEN left(lower(word), length(lower(word)) - length(s)) END), lambda b: b IS NOT NULL)"
+    free = f"length(p[i]) <= 2 OR (i < len(p) AND list_contains({_quoted(repair.ELISIONS)}, lower(p[i])))"
+    return f"""WITH d AS (SELECT word FROM ({_WORDS_SQL}) UNION SELECT unnest({_quoted(repair.WHITELIST)})), w AS ({words}), x AS (SELECT word, list_filter(string_split_regex(word, '[''’]'), lambda q: q <> '') AS p FROM w),
+      need AS (SELECT word, i AS g, lower(p[i]) AS form FROM (SELECT word, p, unnest(range(1, len(p) + 1)) AS i FROM x WHERE len(p) > 1) WHERE NOT ({free}) UNION ALL SELECT word, 0, unnest(list_concat([lower(word)], {bases})) FROM x WHERE len(p) <= 1)
+      SELECT w.word, coalesce(ok, TRUE) AS correct FROM w LEFT JOIN (SELECT word, bool_and(hit) AS ok FROM (SELECT need.word, g, bool_or(d.word IS NOT NULL) AS hit FROM need LEFT JOIN d ON d.word = form GROUP BY need.word, g) GROUP BY word) o ON o.word = w.word"""
+
+
+_PROSE_TEXT = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^#(set|show|let|import)\b[^\n]*$', ' ', 'g'), '"[^"\n]*"', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '#[a-zA-Z][A-Za-z0-9_.-]*', ' ', 'g'),
+  '(\p{L})[*_]+(\p{L})', '\1\2', 'g'), '(\p{L})[*_]+(\p{L})', '\1\2', 'g'), '</?[a-zA-Z][^>]*>', ' ', 'g')"""
+_SUSPECT_WORDS = rf"SELECT doc_id, regexp_replace(w, '[''’]$', '') AS word FROM (SELECT doc_id, unnest(regexp_extract_all({_PROSE_TEXT}, '\p{{L}}[\p{{L}}''’]{{2,}}')) AS w FROM documents)"
+_SUSPECT_COUNTS = rf"SELECT doc_id, word, count(*) AS n FROM ({_SUSPECT_WORDS}) WHERE length(word) >= 4 AND NOT regexp_full_match(word, '\p{{Lu}}+') GROUP BY ALL"
+
+
+@query("c10_unknown_words", f"SELECT c.doc_id, c.word, c.n FROM ({_SUSPECT_COUNTS}) c JOIN ({_correct_sql(f'SELECT DISTINCT word FROM ({_SUSPECT_COUNTS})')}) k ON k.word = c.word WHERE NOT k.correct")
+def unknown_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.unknown_words(_docs(spark, sf_dir), repair.dictionary(_dictionary(spark, sf_dir))).select("doc_id", "word", "n")
 
 
 @query("c10_suspects")
 def suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.unknown_words(_docs(spark, sf_dir), repair.dictionary(_dictionary(spark, sf_dir)))
+    return repair.suspects(_docs(spark, sf_dir), repair.dictionary(_dictionary(spark, sf_dir)))
 
 
-@query("j2_correct_words")
+@query("j2_correct_words", _correct_sql(r"SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '\p{L}[\p{L}''’]+')) AS word FROM documents)"))
 def correct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}[\p{L}'’]+"), F.lit(0))).alias("word"))
     return repair.correct_words(words, repair.dictionary(_dictionary(spark, sf_dir)))
@@ -386,12 +512,33 @@ def spacing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.get("c", F.lit(k)).cast("bigint").alias(n) for k, n in ((0, "before_marks"), (4, "after_bracket"), (5, "before_bracket"), (11, "doubled"))])
 
 
-@query("f_fixed_spacing")
+_CODE_SQL = r"""(?m)^#(?:set|show|let|import)\b[^\n]*$|"[^"\n]*"|(?s:<!--.*?-->)|\$[^$\n]*\$|#[a-zA-Z][A-Za-z0-9_.]*"""
+#: The spacing rules where a look ahead is a second group; what a match takes from the next one is found by a second pass.
+_SPACING_STEPS = (
+    (r"[ \t]+([,;:!?.])", r"\1"), (r"([,;])(\p{L})", r"\1 \2"), (r"([!?])(\p{L})", r"\1 \2"), (r"(\p{Ll})\.(\p{Lu})", r"\1. \2"), (r"\([ \t]+", "("), (r"[ \t]+\)", ")"),
+    (r"([«“‘]|<<)[ \t\n]+", r"\1"), (r"[ \t\n]+([»”’]|>>)", r"\1"), *[(r"(\p{L})-[ \t]+(\p{L})", r"\1 - \2")] * 2, *[(r"(\p{L})[ \t]+-(\p{L})", r"\1 - \2")] * 2,
+    *[(r"(\p{L})([—–])(\p{L})", r"\1 \2 \3")] * 2, (r"(\S)[ \t]{2,}", r"\1 "),
+)
+
+
+def _spaced_sql() -> str:
+    out = f"regexp_replace(t, '{_CODE_SQL}', chr(57344), 'g')"
+    for pattern, to in _SPACING_STEPS:
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    return f"SELECT doc_id, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(h[i], '')), '') AS text FROM (SELECT doc_id, string_split({out}, chr(57344)) AS p, regexp_extract_all(t, '{_CODE_SQL}') AS h FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"
+
+
+@query("f_fixed_spacing", _spaced_sql())
 def fixed_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", repair.fix_spacing("text").alias("text"))
 
 
-@query("c3_boundary_overlaps")
+@query(
+    "c3_boundary_overlaps",
+    rf"""WITH w AS (SELECT doc_id, n, list_transform(regexp_extract_all(line, '\p{{L}}[\p{{L}}\p{{M}}''’]*'), lambda x: lower(strip_accents(x))) AS f FROM {I.LINES_SQL}),
+    p AS (SELECT a.doc_id, a.n, a.f[greatest(len(a.f) - 9, 1):] AS a, b.f[1:10] AS b FROM w a JOIN w b ON b.doc_id = a.doc_id AND b.n = a.n + 1)
+    SELECT doc_id, n, CAST(coalesce(list_max(list_filter(range(1, least(len(a), len(b)) + 1), lambda k: a[len(a) - k + 1:] = b[1:k])), 0) AS INT) AS overlap FROM p""",
+)
 def boundary_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.boundary_overlaps(I.document_lines(spark, sf_dir), text="line")
 
@@ -442,13 +589,17 @@ _docs_query("f_structural_punctuation", lambda: T.structural_punctuation("text")
 _docs_query("f_heading_key", lambda: T.heading_key("text"), r"trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.:;,]+$', ''), '\s+', ' ', 'g')) AS value")
 _docs_query("f_strip_base64_prefix", lambda: T.strip_base64_prefix("text"), "CASE WHEN contains(text, ',') THEN substr(text, instr(text, ',') + 1) ELSE text END AS value")
 _docs_query("f_comparison_units", lambda: F.size(T.comparison_units("text")).cast("bigint"), f"len({_UNITS.format(c='text')}) AS value")
-_docs_query("f_format_bytes", lambda: T.format_bytes("n_chars"), "CASE WHEN n_chars < 1024 THEN printf('%d B', n_chars) ELSE printf('%.0f KB', n_chars / 1024) END AS value")
+_docs_query("f_format_bytes", lambda: T.format_bytes(F.col("n_chars") * F.col("n_chars")), "CASE WHEN n_chars * n_chars < 1024 THEN printf('%d B', n_chars * n_chars) WHEN n_chars * n_chars < 1048576 THEN printf('%.0f KB', n_chars * n_chars / 1024) ELSE printf('%.1f MB', n_chars * n_chars / 1048576) END AS value")
 _docs_query("f_invariants", lambda: F.size(T.extract_invariants("text")).cast("bigint"), f"len({_invariants_sql('text')}) AS value")
 
 
+#: DuckDB counts bytes here, so each letter of several bytes becomes a control character of its own.
+_SINGLE = "translate({c}, 'äöüßÄÖÜéèêàâîôûçñáíóúÉÈÊÇÑœï', " + " || ".join(f"chr({n})" for n in (*range(1, 9), 11, 12, *range(14, 32))) + ")"
+
+
 @query(
     "f_levenshtein",
-    "SELECT a.item_id, levenshtein(left(regexp_replace(a.text, '[^A-Za-z .]', '', 'g'), 60), left(regexp_replace(b.text, '[^A-Za-z .]', '', 'g'), 60)) AS distance FROM benchmark a LEFT JOIN benchmark b ON b.item_id = a.item_id + 1",
+    f"SELECT a.item_id, levenshtein({_SINGLE.format(c='a.text')}, {_SINGLE.format(c='b.text')}) AS distance FROM benchmark a LEFT JOIN benchmark b ON b.item_id = a.item_id + 1",
 )
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit distance of each whole benchmark passage to the next one, met by consecutive numbers."""
@@ -465,9 +616,7 @@ def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
 )
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last writer wins: a maximum by key aggregates before the shuffle, which a row number can't."""
-    events = I.table(spark, sf_dir, "events")
-    return events.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("x")).select("user_id", "x.event_id", "x.event_type")
+    return store.latest(I.table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
 @query(
@@ -475,8 +624,12 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT conv_id, count(*) AS total, count(*) FILTER (WHERE coalesce(text, '') <> '' AND role = 'assistant') AS done, max(turn) AS last_turn FROM conversations GROUP BY conv_id",
 )
 def summary_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = (F.coalesce("text", F.lit("")) != "") & (F.col("role") == "assistant")
-    return I.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("total"), F.count_if(done).alias("done"), F.max("turn").alias("last_turn"))
+    """Turns as the chunks of a session, those of the assistant with a text done."""
+    status = F.when((F.coalesce("text", F.lit("")) != "") & (F.col("role") == "assistant"), "done").otherwise("todo")
+    none = F.lit(None).cast("string")
+    sessions = I.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.collect_list(F.struct(status.alias("status"))).alias("chunks"), F.max("turn").alias("last_turn"))
+    ready = sessions.withColumns({"file_name": none, "status": none, "ocr": F.lit(None).cast("struct<done:int,total:int>")})
+    return store.summary(ready).join(sessions.select("id", "last_turn"), "id").select(F.col("id").alias("conv_id"), F.col("total").cast("bigint").alias("total"), F.col("done").cast("bigint").alias("done"), "last_turn")
 
 
 @query(
@@ -485,21 +638,17 @@ def summary_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = I.table(spark, sf_dir, "conversations")
-    gone = turns.where((F.col("role") == "user") & (F.length("text") > 400)).select("conv_id").distinct()
-    return turns.select("conv_id", "turn").join(gone, "conv_id", "left_anti")
+    return store.without(turns.select("conv_id", "turn"), turns.where((F.col("role") == "user") & (F.length("text") > 400)), "conv_id")
 
 
 @query("u_union_distinct", "SELECT DISTINCT word FROM (SELECT trim(lower(event_type)) AS word FROM events UNION SELECT trim(lower(role)) FROM conversations) WHERE word <> ''")
 def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = I.table(spark, sf_dir, "events").select(F.trim(F.lower("event_type")).alias("word")).distinct()
-    b = I.table(spark, sf_dir, "conversations").select(F.trim(F.lower("role")).alias("word")).distinct()
-    return a.union(b).where("word <> ''").distinct()
+    return repair.ignore_list(I.table(spark, sf_dir, "events"), I.table(spark, sf_dir, "conversations").withColumnRenamed("role", "event_type"), "event_type")
 
 
 @query("w12_line_offsets", f"SELECT doc_id, n, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM {I.LINES_SQL}")
 def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    return I.document_lines(spark, sf_dir).select("doc_id", F.col("n").cast("bigint").alias("n"), F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).alias("start"))
+    return structure.line_offsets(I.document_lines(spark, sf_dir).withColumn("n", F.col("n").cast("bigint")))
 
 
 # Boundary repair and lookups
@@ -515,9 +664,10 @@ def repaired_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT word, n FROM (SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '\\p{L}{4,}')) AS w FROM documents) GROUP BY ALL) ANTI JOIN (
       SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_extract_all(text, '\\p{L}{4,}')) AS w FROM benchmark)) USING (word)""",
 )
-def ignore_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lambda t: I.table(spark, sf_dir, t).select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n"))
-    return words("documents").join(words("benchmark").select("word"), "word", "left_anti")
+def ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = lambda t: I.table(spark, sf_dir, t).select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("w"))
+    listed = words("benchmark").select(F.lower("w").alias("word"))
+    return repair.unlisted(words("documents"), listed, "w")
 
 
 @query(
@@ -525,27 +675,37 @@ def ignore_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT doc_id, form, arg_min(w, i) AS spelt, count(*) AS n FROM (SELECT doc_id, i, x[i] AS w, lower(x[i]) AS form FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\\p{L}{3,}') AS x FROM documents))) GROUP BY doc_id, form""",
 )
 def first_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("i", "w"))
-    return words.groupBy("doc_id", F.lower("w").alias("form")).agg(F.min_by("w", "i").alias("spelt"), F.count("*").alias("n"))
+    return repair.first_spellings(_docs(spark, sf_dir))
 
 
-@query(
-    "j13_zipped_headings",
-    f"""WITH h AS (SELECT doc_id, n, line, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM ({I.MARKED_SQL}) WHERE regexp_matches(line, '^#{{1,6}}\\s'))
-    SELECT a.doc_id, a.k, length(regexp_extract(a.line, '^(#+)', 1)) AS level, b.n AS other_line FROM h a JOIN h b ON b.doc_id = a.doc_id + 1 AND a.k = b.k""",
-)
-def zipped_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = I.marked_lines(spark, sf_dir).where(F.col("line").rlike(r"^#{1,6}\s")).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")))
-    other = heads.select((F.col("doc_id") - 1).alias("doc_id"), "k", F.col("n").cast("bigint").alias("other_line"))
-    return heads.join(other, ["doc_id", "k"]).select("doc_id", F.col("k").cast("bigint").alias("k"), F.length(F.regexp_extract("line", r"^(#+)", 1)).cast("bigint").alias("level"), "other_line")
+_ENFORCED_SQL = rf"""SELECT doc_id, string_agg(CASE WHEN n >= 0 AND regexp_matches(line, '^#{{1,6}}\s') THEN CASE WHEN doc_id % 2 = 0 THEN replace(regexp_extract(line, '^(#+)', 1), '#', '=') ELSE '=' END || ' ' || regexp_replace(line, '^#{{1,6}}\s+', '') ELSE line END, chr(10) ORDER BY n) AS output
+    FROM (SELECT doc_id, line, n FROM ({I.MARKED_SQL}) UNION ALL SELECT DISTINCT doc_id, '= In piu', -1 FROM ({I.MARKED_SQL}) WHERE doc_id % 2 = 1) GROUP BY doc_id"""
+
+
+@query("j13_enforced_levels", _ENFORCED_SQL)
+def enforced_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All headings of a text flattened to one level, then put back by the source's; a heading too many leaves them flat."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
+    source = I.marked_lines(spark, sf_dir).groupBy("doc_id").agg(F.array_join(lines, "\n").alias("source"))
+    flat = F.regexp_replace("source", r"(?m)^#{1,6}[ \t\f\r]+", "= ")
+    return structure.enforce_heading_levels(source.withColumn("output", F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("= In piu\n"), flat)).otherwise(flat)), ["doc_id"])
 
 
 @query("j15_batch_index", "SELECT doc_id, n // 12 AS batch, n % 12 AS i, length(line) AS n_chars FROM " + I.LINES_SQL + " WHERE trim(line) <> ''")
 def batch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs by batch of 12 and place in it, by which answers find their paragraph again."""
     lines = I.document_lines(spark, sf_dir).where(F.trim("line") != "")
-    n = F.col("n").cast("bigint")
-    return lines.select("doc_id", F.floor(n / 12).alias("batch"), (n % 12).alias("i"), F.length("line").cast("bigint").alias("n_chars"))
+    return repair.batches(lines).select("doc_id", "batch", "i", F.length("line").cast("bigint").alias("n_chars"))
+
+
+@query(
+    "j15_merged_replies",
+    f"SELECT doc_id, n, CASE WHEN n % 12 % 3 = 0 THEN '> ' || line ELSE line END AS text FROM {I.LINES_SQL}",
+)
+def merged_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies for every third place of each batch find their paragraph by batch and place."""
+    lines = repair.batches(I.document_lines(spark, sf_dir).withColumnRenamed("line", "text"))
+    replies = lines.where("i % 3 = 0").select("doc_id", "batch", "i", F.concat(F.lit("> "), F.col("text")).alias("text"))
+    return repair.merged_replies(lines, replies, ["doc_id"]).select("doc_id", F.col("n").cast("bigint").alias("n"), "text")
 
 
 @query(
@@ -554,10 +714,9 @@ def batch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, n FROM w WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = w.doc_id AND w.n >= c.first AND w.n < c.last)""",
 )
 def uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines outside of their document's covered span: an equi-join with the range as a further condition."""
     lines = I.document_lines(spark, sf_dir).withColumn("n", F.col("n").cast("bigint"))
-    span = lines.where(F.contains("line", F.lit(","))).groupBy("doc_id").agg(F.min("n").alias("first"), F.max("n").alias("last"))
-    return lines.where(F.length("line") > 40).select("doc_id", "n").join(span, (lines.doc_id == span.doc_id) & (F.col("n") >= F.col("first")) & (F.col("n") < F.col("last")), "left_anti")
+    spans = lines.where(F.contains("line", F.lit(","))).groupBy("doc_id").agg(F.min("n").alias("first"), F.max("n").alias("last"))
+    return repair.uncovered(lines.where(F.length("line") > 40), spans)
 
 
 @query(
@@ -569,17 +728,6 @@ def delimiter_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", odd(r"\*").alias("stars"), odd(r"\$").alias("dollars"))
 
 
-@query(
-    "a4_mode_of_rounded",
-    "SELECT l_suppkey, rounded FROM (SELECT l_suppkey, rounded, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, first) AS r FROM (SELECT l_suppkey, floor(l_quantity + 0.5)::BIGINT AS rounded, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY ALL)) WHERE r = 1",
-)
-def mode_of_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most frequent rounded size by key, the first seen of equals; two aggregates, no window."""
-    items = I.table(spark, sf_dir, "lineitem")
-    counted = items.groupBy("l_suppkey", F.floor(F.col("l_quantity") + 0.5).alias("rounded")).agg(F.count("*").alias("n"), F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first"))
-    return counted.groupBy("l_suppkey").agg(F.max_by("rounded", F.struct("n", -F.col("first"))).alias("rounded"))
-
-
 @query("p_file_error", "SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view') THEN 'type not supported' WHEN value * 1000000 > 20971520 THEN 'file too large' END AS error FROM events")
 def file_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     mime = F.when(F.col("event_type").isin("click", "view"), "image/png").otherwise("text/plain")
@@ -609,3 +757,119 @@ def base64_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("u_word_union_counts", "SELECT lang, count(*) AS n_docs, min(n_chars) AS least, sum(n_chars)::BIGINT AS chars, bool_and(n_chars > 0) AS all_filled FROM documents GROUP BY lang")
 def language_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n_docs"), F.min("n_chars").alias("least"), F.sum("n_chars").alias("chars"), F.bool_and(F.col("n_chars") > 0).alias("all_filled"))
+
+
+# Scalars on texts that hold what they look for
+
+
+def _text_query(name: str, shown: str, column, sql: str) -> None:
+    """``column`` of a text given by ``shown``, an expression that both read the same, against SQL over it as ``t``."""
+    query(name, f"SELECT doc_id, {sql} AS value FROM (SELECT doc_id, {shown} AS t FROM documents)")(
+        lambda s, d: _docs(s, d).select("doc_id", F.expr(shown).alias("t")).select("doc_id", column().alias("value"))
+    )
+
+
+_WHOLE = "coalesce(text, '')"
+_NL = "chr(10)"
+_text_query("f_lexical_tokens", _WHOLE, lambda: F.array_join(T.lexical_tokens("t"), "|"), r"array_to_string(regexp_extract_all(t, '[\p{L}\p{M}][\p{L}\p{M}''’]*|\p{N}+(?:[.,]\p{N}+)*'), '|')")
+_text_query("f_paragraphs", f"concat({_WHOLE}, {_NL}, {_NL}, {_NL}, coalesce(lang, ''), {_NL}, {_NL}, source)", lambda: F.array_join(T.paragraphs("t"), "|"), r"array_to_string(string_split_regex(trim(t), '\n{2,}'), '|')")
+_text_query("f_title", f"concat('intro', {_NL}, '=  Titolo ', source, {_NL}, {_WHOLE})", lambda: T.extract_title("t"), r"trim(regexp_extract(t, '(?m)^=[ \t]+(.+)$', 1))")
+_text_query("f_escape_string", f"concat({_WHOLE}, chr(92), chr(34), source)", lambda: T.escape_string("t"), "replace(replace(t, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34))")
+_text_query("f_strip_fence", f"concat('  ```typ', {_NL}, {_WHOLE}, {_NL}, '``` ')", lambda: T.strip_fence("t"), r"regexp_replace(regexp_replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '(?s)^```[a-zA-Z]*\n(.*?)\n?```$', '\1'), '^\s+|\s+$', '', 'g')")
+_text_query("f_strip_reasoning", f"concat('<think>', {_WHOLE}, '</think> ', source, ' <THINK>x</Think>')", lambda: T.strip_reasoning("t"), r"trim(regexp_replace(t, '(?is)<think>.*?</think>', '', 'g'))")
+_text_query("f_extract_prose", f"concat('#set text(size: 9pt)', {_NL}, 'a*b*c <b>', {_WHOLE}, '</b> #image(1)')", lambda: T.extract_prose("t"), _PROSE_TEXT.replace("coalesce(text, '')", "t"))
+_text_query("f_strip_markup", f"concat('## Uno', {_NL}, '![alt](x.png) <i>', {_WHOLE}, '</i><!-- n -->')", lambda: T.strip_source_markup("t"), _STRIPPED.format(c="t"))
+_text_query("f_content_word_list", _WHOLE, lambda: F.size(T.content_words("t")).cast("bigint"), "len(list_filter(string_split(regexp_replace(strip_accents(lower(t)), '[^a-z]+', ' ', 'g'), ' '), lambda q: q <> ''))")
+_text_query(
+    "f_source_plain_text", f"concat('# T', {_NL}, '- *uno* `due` <sup>1</sup>', {_NL}, '| a | b |', {_NL}, '| --- | --- |', {_NL}, chr(92), 'textbf{{x}} & y', {_NL}, '![c](p)', {_NL}, {_WHOLE})".replace("{{", "{").replace("}}", "}"),
+    lambda: T.source_plain_text("t"),
+    "".join(["regexp_replace("] * len(T._PLAIN_STEPS)) + "t" + "".join(", '{}', '{}', 'g')".format(p.replace("(?![A-Za-z0-9_])", r"\b"), to.replace("$1", r"\1")) for p, to in T._PLAIN_STEPS),
+)
+_text_query("f_replace_unique", _WHOLE, lambda: T.replace_unique(F.col("t"), F.lit("and"), F.lit("AND")), "CASE WHEN length(t) - length(replace(t, 'and', '')) = 3 THEN replace(t, 'and', 'AND') END")
+_text_query("f_correction_context", _WHOLE, lambda: T.correction_context(F.col("t"), F.lit("zzzz"), F.lit("the"), 40), "CASE WHEN instr(t, 'the') > 0 THEN substr(t, greatest(1, instr(t, 'the') - 40), instr(t, 'the') + 4 + 40 - greatest(1, instr(t, 'the') - 40)) ELSE substr(t, 1, 1 + 4 + 40 - 1) END")
+_text_query("f_relative_time", "n_chars", lambda: T.relative_time(F.col("t") * 0, F.col("t") * F.col("t") * 20), """(SELECT CASE WHEN m < 1 THEN 'ora' WHEN m < 60 THEN m || ' min fa' WHEN floor(m / 60 + 0.5) < 24 THEN CAST(floor(m / 60 + 0.5) AS BIGINT) || ' h fa' ELSE CAST(floor(floor(m / 60 + 0.5) / 24 + 0.5) AS BIGINT) || ' g fa' END
+  FROM (SELECT CAST(floor(t * t * 20 / 60000 + 0.5) AS BIGINT) AS m))""")
+_text_query("f_preamble_of", f"concat('#set x', {_NL}, CASE WHEN doc_id % 2 = 0 THEN '== Capo' ELSE 'Capo' END, {_NL}, {_WHOLE})", lambda: structure.split_preamble("t")["preamble"], "CASE WHEN doc_id % 2 = 0 OR regexp_matches(t, '\\n[ \\t]*=+\\s') THEN '#set x' ELSE '' END")
+_text_query("f_explicit_hyphenation", f"concat(CASE doc_id % 3 WHEN 0 THEN '#set text(size: 9pt)' WHEN 1 THEN '#set text(hyphenate: true)' ELSE '' END, {_NL}, {_WHOLE})", lambda: render.explicit_hyphenation("t"), f"CASE doc_id % 3 WHEN 0 THEN '#set text(size: 9pt, hyphenate: false)' || substr(t, 21) WHEN 1 THEN t ELSE '#set text(hyphenate: false)' || {_NL} || t END")
+_text_query("f_describe_fix", _WHOLE, lambda: render.describe_fix(F.col("t"), F.left("t", F.lit(12))), r"""(SELECT '«' || CASE WHEN length(a) > 40 THEN left(a, 40) || '…' ELSE a END || '» → «' || CASE WHEN b = '' THEN '(rimosso)' ELSE b END || '»' FROM (SELECT trim(regexp_replace(t, '\s+', ' ', 'g')) AS a, trim(regexp_replace(left(t, 12), '\s+', ' ', 'g')) AS b))""")
+_text_query(
+    "f_compile_message", "concat('[SourceDiagnostic { message: \"expected ', source, chr(92), '\"x', chr(92), '\"\", hints: [\"try ', coalesce(lang, ''), '\"] }, SourceDiagnostic { message: \"two\" }]')",
+    lambda: render.compile_message("t"), "'expected ' || regexp_extract(t, 'expected ([^\\\\]*)', 1) || '\"x\" · two (suggerimento: ' || trim('try ' || regexp_extract(t, 'try ([^\"]*)', 1)) || ')'",
+)
+_text_query("f_dialogue", f"concat(replace({_WHOLE}, chr(10), ' '), '. AMLETO: chi va ', source, '? ORAZIO (piano): io.', {_NL}, 'OFELIA: ecco')", lambda: layout.normalize_dialogue("t"), rf"""regexp_replace(regexp_replace(regexp_replace(t, '([.!?…»”)\]])[ \t]+({layout.SPEAKER})', '\1' || chr(10) || '\2', 'g'), '([^\n])\n([ \t]{{0,3}}(?:\*\*|__)?{layout.SPEAKER})', '\1' || chr(10) || chr(10) || '\2', 'g'), '([^\n])\n([ \t]{{0,3}}(?:\*\*|__)?{layout.SPEAKER})', '\1' || chr(10) || chr(10) || '\2', 'g')""".replace("'’.", "''’."))
+_text_query("p_can_retry", "concat('error ', CASE doc_id % 4 WHEN 0 THEN '429' WHEN 1 THEN 'Quota exceeded' WHEN 2 THEN 'bad request' ELSE 'OVERLOADED' END)", lambda: responses.can_retry(F.col("t")), "doc_id % 4 <> 2")
+_text_query("p_is_pdf", "CASE doc_id % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' END", lambda: files.is_pdf(F.col("t")), "coalesce(t = 'application/pdf', FALSE)")
+_text_query("f_choice_font", "CASE doc_id % 3 WHEN 0 THEN 'ptserif' WHEN 1 THEN 'comic' END", lambda: structure.pick_choice("font", F.col("t")), "CASE WHEN t = 'ptserif' THEN t ELSE 'libertinus' END")
+_text_query("f_tool_arguments", "concat('{\"choices\":[{\"message\":{\"tool_calls\":[{\"function\":{\"arguments\":\"{', chr(92), '\"n', chr(92), '\":', CAST(doc_id AS VARCHAR(20)), '}\"}}]}}]}')", lambda: F.try_variant_get(responses.tool_arguments(F.col("t")), "$.n", "bigint"), "doc_id")
+_text_query("f_model_names", "concat('{\"data\":[{\"id\":\"m', CAST(doc_id % 7 AS VARCHAR(20)), '\"},{\"id\":\"a\"},{\"id\":\"a\"},{\"id\":\"\"}]}')", lambda: F.array_join(responses.model_names(F.col("t")), ","), "'a,m' || doc_id % 7")
+
+
+@query(
+    "f_fidelity_note",
+    """SELECT doc_id, string_agg('- «' || CASE WHEN length(x) > 180 THEN left(x, 180) || '…' ELSE x END || '»', chr(10) ORDER BY i) AS note FROM (SELECT doc_id, i, l[i] AS x FROM (SELECT doc_id, l, unnest(range(1, least(len(l), 6) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))) GROUP BY doc_id""",
+)
+def fidelity_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", compare.fidelity_note(F.split(F.coalesce("text", F.lit("")), "\n")).alias("note"))
+
+
+@query(
+    "w13_validated_levels",
+    rf"""WITH d AS (SELECT doc_id, 'b-' || (n + 1) AS id FROM ({I.MARKED_SQL}) WHERE n % 14 IN (0, 7)), p AS (SELECT doc_id, 'b-' || (n % 20 + 1) AS id, CASE n % 3 WHEN 0 THEN 2.5 ELSE n % 9 END AS level, n AS pos FROM ({I.MARKED_SQL}))
+    SELECT doc_id, id, CAST(least(4, greatest(1, arg_min(level, pos))) AS INT) AS level FROM p SEMI JOIN d USING (doc_id, id) WHERE level = floor(level) GROUP BY doc_id, id""",
+)
+def validated_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = I.marked_lines(spark, sf_dir)
+    described = lines.select("doc_id", F.concat(F.lit("b-"), F.col("n") + 1).alias("id"), F.when((F.col("n") % 14).isin(0, 7), "heading").otherwise("prose").alias("kind"))
+    level = F.when(F.col("n") % 3 == 0, 2.5).otherwise((F.col("n") % 9).cast("double"))
+    return structure.valid_levels(lines.select("doc_id", F.concat(F.lit("b-"), F.col("n") % 20 + 1).alias("id"), level.alias("level"), F.col("n").alias("pos")), described)
+
+
+@query(
+    "j14_prepared_pages",
+    """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, half) - 1 AS place, turn, rotate, half FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 90 ELSE 0 END AS rotate, unnest(CASE WHEN turn % 4 = 0 THEN [0, 1] ELSE [NULL::INT] END) AS half FROM conversations)""",
+)
+def prepared_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = I.table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    edits = turns.where("turn % 2 = 0").select("conv_id", "turn", F.lit(90).alias("rotate"), (F.col("turn") % 4 == 0).alias("split"))
+    return layout.prepared_pages(turns, edits, "conv_id", "turn")
+
+
+_FIGURE_TEXT = "concat('uno image(\"', source, '\") due image(\"f2.png\", width: 33.5%) tre image( \"none.png\" )')"
+
+
+@query(
+    "j17_figure_widths",
+    f"""SELECT doc_id, 'uno image("' || source || '", width: ' || (doc_id % 90 + 10) || '%) due image("f2.png"' || CASE WHEN doc_id % 2 = 0 THEN ', width: 50%' ELSE ', width: 33.5%' END || ') tre image( "none.png" )' AS text FROM documents""",
+)
+def figure_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "source", F.expr(_FIGURE_TEXT).alias("text"))
+    own = docs.select("doc_id", F.col("source").alias("path"), (F.col("doc_id") % 90 + 10).cast("int").alias("width_pct"))
+    more = docs.select("doc_id", F.lit("f2.png").alias("path"), F.when(F.col("doc_id") % 2 == 0, 50).otherwise(0).alias("width_pct"))
+    return render.figure_widths(docs, own.union(more))
+
+
+@query(
+    "s_confirmed_figures",
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'uno' || chr(10) || chr(10) || '![b](f2.png)' || chr(10) || 'due ' || source ELSE 'uno' || chr(10) || chr(10) || '![a](f1.png)' || chr(10) || chr(10) || '![b](f2.png)' || chr(10) || 'due ' || source END AS text FROM documents""",
+)
+def confirmed_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", F.expr("concat('uno', chr(10), chr(10), '![a](f1.png)', chr(10), chr(10), '![b](f2.png)', chr(10), 'due ', source)").alias("text"))
+    return layout.without_figures(docs, docs.where("doc_id % 2 = 0").select("doc_id", F.lit("f1.png").alias("path")))
+
+
+@query(
+    "s_resumable",
+    "SELECT conv_id FROM (SELECT conv_id, max(turn) AS last, count(*) AS n FROM conversations GROUP BY conv_id) WHERE n % 2 = 1 ORDER BY last DESC, conv_id LIMIT 1",
+)
+def resumable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the one session to go on with, of those with an odd number of turns."""
+    found = I.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.max("turn").alias("updated_at"), F.when(F.count("*") % 2 == 1, "ocr").otherwise("done").alias("status"))
+    return store.resumable(found).select(F.col("id").alias("conv_id"))
+
+
+@query("j8_restored_passages")
+def restored_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines as the canonical text, the same without its first words as the editor's, and one line as the passage."""
+    marked = I.marked_documents(spark, sf_dir)
+    rows = marked.select("doc_id", F.col("text").alias("canonical"), F.regexp_replace("text", r"(?m)^\S+ ", "").alias("editor"), F.element_at(F.split("text", "\n\n"), -1).alias("passage"))
+    return render.restored_documents(rows, ["doc_id"])

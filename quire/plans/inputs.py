@@ -37,6 +37,18 @@ SELECT doc_id, CASE WHEN n % 14 = 0 THEN concat('# ', line) WHEN n % 14 = 7 THEN
 FROM {lines}
 """
 
+#: Lines of text layers from line items: a document for each supplier, a page for each line number.
+LAYER = """
+SELECT l_suppkey AS doc_id, CAST(l_linenumber - 1 AS INT) AS page, CAST(row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey, l_partkey) - 1 AS INT) AS line_no,
+  CAST(1000 - l_orderkey % 40 * 10 AS DOUBLE) AS y, CAST(CASE WHEN l_partkey % 17 = 0 THEN 18 WHEN l_partkey % 13 = 0 THEN 14.4 ELSE 10 + l_partkey % 3 END AS DOUBLE) AS size,
+  CASE WHEN l_partkey % 29 = 0 THEN '' WHEN l_partkey % 31 = 0 THEN 'abc' ELSE concat('Riga ', CAST(l_partkey AS VARCHAR(20))) END AS text
+FROM {lineitem}
+"""
+
+
+def layer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(LAYER, lineitem=table(spark, sf_dir, "lineitem"))
+
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(BLOCKS, lineitem=table(spark, sf_dir, "lineitem"))
@@ -65,6 +77,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINES_SQL = "(SELECT doc_id, n - 1 AS n, l[n] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)))"
+LAYER_SQL = LAYER.format(lineitem="lineitem")
 BLOCKS_SQL = BLOCKS.format(lineitem="lineitem")
 MARKED_SQL = MARKED.format(lines=LINES_SQL)
 PAIRS_SQL = "SELECT a.doc_id, a.text AS source, b.text AS output FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1"
