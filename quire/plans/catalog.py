@@ -796,7 +796,7 @@ _text_query(
     "f_compile_message", "concat('[SourceDiagnostic { message: \"expected ', source, chr(92), '\"x', chr(92), '\"\", hints: [\"try ', coalesce(lang, ''), '\"] }, SourceDiagnostic { message: \"two\" }]')",
     lambda: render.compile_message("t"), "'expected ' || regexp_extract(t, 'expected ([^\\\\]*)', 1) || '\"x\" · two (suggerimento: ' || trim('try ' || regexp_extract(t, 'try ([^\"]*)', 1)) || ')'",
 )
-_text_query("f_dialogue", f"concat(replace({_WHOLE}, chr(10), ' '), '. AMLETO: chi va ', source, '? ORAZIO (piano): io.', {_NL}, 'OFELIA: ecco')", lambda: layout.normalize_dialogue("t"), rf"""regexp_replace(regexp_replace(regexp_replace(t, '([.!?…»”)\]])[ \t]+({layout.SPEAKER})', '\1' || chr(10) || '\2', 'g'), '([^\n])\n([ \t]{{0,3}}(?:\*\*|__)?{layout.SPEAKER})', '\1' || chr(10) || chr(10) || '\2', 'g'), '([^\n])\n([ \t]{{0,3}}(?:\*\*|__)?{layout.SPEAKER})', '\1' || chr(10) || chr(10) || '\2', 'g')""".replace("'’.", "''’."))
+_text_query("f_dialogue", f"concat(replace({_WHOLE}, chr(10), ' '), '. AMLETO: chi va ', source, '? ORAZIO (piano): io.', {_NL}, 'OFELIA: ecco')", lambda: layout.normalize_dialogue("t"), rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '([.!?…»”)\]])[ \t]+({layout.SPEAKER})', '\1' || chr(10) || '\2', 'g'), '([.!?…»”)\]])[ \t]+({layout.SPEAKER})', '\1' || chr(10) || '\2', 'g'), '([^\n])\n([ \t]{{0,3}}(?:\*\*|__)?{layout.SPEAKER})', '\1' || chr(10) || chr(10) || '\2', 'g'), '([^\n])\n([ \t]{{0,3}}(?:\*\*|__)?{layout.SPEAKER})', '\1' || chr(10) || chr(10) || '\2', 'g')""".replace("'’.", "''’."))
 _text_query("p_can_retry", "concat('error ', CASE doc_id % 4 WHEN 0 THEN '429' WHEN 1 THEN 'Quota exceeded' WHEN 2 THEN 'bad request' ELSE 'OVERLOADED' END)", lambda: responses.can_retry(F.col("t")), "doc_id % 4 <> 2")
 _text_query("p_is_pdf", "CASE doc_id % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' END", lambda: files.is_pdf(F.col("t")), "coalesce(t = 'application/pdf', FALSE)")
 _text_query("f_choice_font", "CASE doc_id % 3 WHEN 0 THEN 'ptserif' WHEN 1 THEN 'comic' END", lambda: structure.pick_choice("font", F.col("t")), "CASE WHEN t = 'ptserif' THEN t ELSE 'libertinus' END")
