@@ -4,7 +4,9 @@ Sampled splitters deal the normalised texts into ranges, Spark's external sort b
 next to each other, and the window below compares neighbours in full.  The splitters are short: the
 text's first characters, a hash and the id's bucket, so that sampling sends a few bytes per sample to
 the driver, and copies of one text spread over as many ranges as their buckets need.  Runs of the
-same text in different buckets are then merged by their SHA-256, one row for each run.
+same text in different buckets are then merged by their SHA-256, one row for each run: within a bucket
+texts are compared in full, across buckets two texts would have to share a 64-bit hash, 16 characters
+and a SHA-256 to be taken for one.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty, written
+from .shared import free_name, text_or_empty, written
 
 #: Buckets, by id, into which the copies of a text are dealt.
 BUCKETS = 1024
@@ -67,10 +69,13 @@ def drop_copies(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id",
     """The rows of ``docs`` without further copies of a text; all columns stay.
 
     Rows that share both text and id are copies of each other too; one of them, by all columns in
-    order, is kept.  Nulls as in :func:`exact_groups`.
+    order, is kept (a column without an order, such as a map, counts by its JSON).  Nulls as in
+    :func:`exact_groups`; columns of any name may be there, or none besides id and text.
     """
-    kept = exact_groups(docs, keep, id_col, text_col).where("kept").select(F.col(id_col).alias("_k"), F.col("text_sha256").alias("_s"))
-    digest = F.sha2(F.encode(text_or_empty(text_col), "UTF-8"), 256)
-    found = docs.withColumn("_d", digest).join(kept, (F.col(id_col).eqNullSafe(F.col("_k"))) & (F.col("_d") == F.col("_s")), "left_semi")
-    one = Window.partitionBy(id_col, "_d").orderBy(*[c for c in docs.columns if c not in (id_col, text_col)])
-    return found.withColumn("_r", F.row_number().over(one)).where("_r = 1").select(*docs.columns)
+    key, digest, own, place = (free_name(docs.columns, f"_{name}") for name in ("key", "digest", "own_digest", "place"))
+    kept = exact_groups(docs, keep, id_col, text_col).where("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias(digest))
+    found = docs.withColumn(own, F.sha2(F.encode(text_or_empty(text_col), "UTF-8"), 256)).join(kept, (F.col(id_col).eqNullSafe(F.col(key))) & (F.col(own) == F.col(digest)), "left_semi")
+    unordered = lambda c: any(kind in docs.schema[c].dataType.simpleString() for kind in ("map<", "variant"))
+    rest = [F.to_json(F.struct(F.col(f"`{c}`"))) if unordered(c) else F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    one = Window.partitionBy(id_col, own).orderBy(*(rest or [F.lit(0)]))
+    return found.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

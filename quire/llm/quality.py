@@ -2,14 +2,20 @@
 
 Each rule votes good (1), bad (0) or abstains (null).  The votes of all documents are counted by
 pattern, a table of at most 3 to the number of rules rows; expectation-maximisation over it
-estimates each rule's accuracies and the share of good documents.  A document is kept if the
-posterior probability that it is good is high enough, instead of having to pass every rule.
+estimates how often each rule votes bad on good documents and on each kind of junk, and the shares of
+these classes.  A document is kept if the posterior probability that it is good is high enough,
+instead of having to pass every rule.  Rules that see the same kind of junk come in groups: junk
+makes several of them vote bad together, while a bad vote alone, if it is common, shows up as an
+error of its rule.  A kind of junk that only one rule can see may therefore be taken for such errors,
+and where good documents with one bad vote are about as many as a kind of junk that two rules see, the
+counts fit either reading.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +28,9 @@ WINDOW = 8
 #: A document is kept if it is good with at least this probability.
 KEEP_FROM = 0.5
 
+#: A word that is the same as the next one.
+DOUBLED = r"(?<![^ \t-\r])([^ \t-\r]++)[ \t-\r]++(?=\1(?![^ \t-\r]))"
+
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -43,7 +52,7 @@ def let(value: Column, use) -> Column:
 def repeated_words(words: Column, size: int = WINDOW) -> Column:
     """How many words lie in windows of ``size`` words that occur at least twice in the text.
 
-    Windows are compared by two independent 64-bit hashes.  Where none repeats, which one pass over
+    Windows are compared by a 64-bit hash.  Where none repeats, which one pass over
     the distinct hashes tells, the answer is 0; else the starts of the repeated ones are laid out in
     order and each adds the words that the one before hasn't covered.
     """
@@ -76,18 +85,21 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, _space())) > 0)
     dup_lines = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    counts = let(words(text), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r"), F.size(F.array_distinct(w)).alias("d")))
+    counts = let(words(text), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r"), F.size(F.array_distinct(w)).alias("d"), F.length(F.array_join(w, "")).alias("c")))
+    without = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("bigint")
     found = docs.withColumn("_w", counts)
     return found.select(
         *docs.columns,
         F.col("_w.n").cast("bigint").alias("n_words"),
-        F.length(F.translate(text, ASCII_SPACE, "")).cast("bigint").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.col("_w.c").cast("bigint").alias("word_chars"),
+        without(f"[{SYMBOLS}]+").alias("n_symbols"),
         F.when(F.instr(text, "\n") > 0, dup_lines).otherwise(0).cast("bigint").alias("n_dup_lines"),
         F.col("_w.r").cast("bigint").alias("n_repeat_words"),
         F.col("_w.d").cast("bigint").alias("_distinct"),
-        (F.length(text) - F.length(F.translate(text, "!", ""))).cast("bigint").alias("_marks"),
-        (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("bigint").alias("_capitals"),
+        (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("bigint").alias("_marks"),
+        without("[A-Z]+").alias("_capitals"),
+        without(r"[\p{L}\p{N}]+").alias("_alnum"),
+        F.regexp_count(text, F.lit(DOUBLED)).cast("bigint").alias("_doubled"),
     )
 
 
@@ -96,10 +108,13 @@ def base_failed() -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """The rules' votes from the measures: 1 good, 0 bad, null abstains."""
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    mean = F.col("word_chars") / n
-    repeat, symbols, marks, capitals = (F.col(c) / n for c in ("n_repeat_words", "n_symbols", "_marks", "_capitals"))
+    """The rules' votes from the measures: 1 good, 0 bad, null abstains.
+
+    How many distinct words are few grows with the text's length, and with its root for long texts.
+    """
+    n, size = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
+    mean, alnum = F.col("word_chars") / n, F.col("_alnum") / size
+    repeat, symbols, marks, capitals, doubled = (F.col(c) / n for c in ("n_repeat_words", "n_symbols", "_marks", "_capitals", "_doubled"))
 
     def vote(bad: Column, good: Column) -> Column:
         return F.when(bad, 0).when(good, 1).cast("int")
@@ -108,28 +123,29 @@ def rules() -> dict[str, Column]:
         "length": vote(F.col("n_words") < 20, F.col("n_words") >= 50),
         "word_size": vote((mean < 2) | (mean > 12), (mean >= 3) & (mean <= 9)),
         "symbols": vote(symbols > 0.3, symbols < 0.05),
+        "letters": vote(alnum < 0.88, alnum >= 0.92),
         "marks": vote(marks > 0.3, marks < 0.05),
         "capitals": vote(F.col("_capitals") > 0.4 * F.col("word_chars"), capitals < 0.5),
         "repeats": vote(repeat > 0.3, repeat < 0.05),
-        "variety": vote((F.col("_distinct") < 0.3 * n) & (n <= 2000), F.col("_distinct") >= 0.5 * n),
+        "variety": vote(F.col("_distinct") < F.least(0.3 * n, 6.7 * F.sqrt(n)), F.col("_distinct") >= F.least(0.5 * n, 15 * F.sqrt(n))),
+        "doubled": vote(doubled > 0.2, doubled < 0.05),
         "lines": vote(F.col("n_dup_lines") * 20 > n, F.col("n_dup_lines") == 0),
     }
 
 
-#: Chances of the votes bad, good and none: of a good document, of junk by the rule for its kind, by other rules.
-START_GOOD, START_SEEN, START_OTHER = (0.005, 0.895, 0.1), (0.9, 0.02, 0.08), (0.1, 0.7, 0.2)
-#: A rule votes bad on this part of the good documents at most: else a rule that alone sees a kind of
-#: junk would be taken for one that is often wrong.
-MOST_WRONG = 0.01
-#: Share of good documents at the start; documents of each class that the start counts for.
+#: Kinds of junk, each by the rules that see it; lengths tell no kind.
+KINDS = (("symbols", "letters"), ("marks", "capitals"), ("repeats", "variety", "doubled", "lines"))
+#: Chances of the votes bad, good and none: of a good document, of junk by a rule for its kind, by other rules.
+START_GOOD, START_SEEN, START_OTHER = (0.02, 0.88, 0.1), (0.9, 0.05, 0.05), (0.05, 0.8, 0.15)
+#: Share of good documents at the start; documents that the start counts for, each class with as many.
 START_SHARE, BELIEF = 0.8, 10.0
 
 
 class Voters:
     """What the estimation found: shares of the classes and, by class and rule, chances of the votes.
 
-    Class 0 is good; class j is junk of the kind that rule j sees.  Kinds of junk differ, and most
-    rules see nothing wrong with most kinds, so one class for all would look good to almost all rules.
+    Class 0 is good; each further class is a kind of junk.  Kinds differ, and most rules see nothing
+    wrong with most of them, so one class for all would look good to almost all rules.
     """
 
     def __init__(self, shares: list[float], chances: list[list[tuple[float, float, float]]]):
@@ -148,28 +164,35 @@ class Voters:
         return self.weights(votes)[0]
 
 
-def fit(patterns: list[tuple[tuple, int]], k: int, rounds: int = 200, tolerance: float = 1e-9) -> Voters:
-    """Expectation-maximisation over (votes of k rules, count), with good rules held to ``MOST_WRONG``."""
-    start = [[START_GOOD] * k, *[[START_SEEN if j == c else START_OTHER for j in range(k)] for c in range(k)]]
-    shares = [START_SHARE, *[(1 - START_SHARE) / k] * k]
-    found = Voters(shares, start)
+def kinds_of(names: list[str]) -> list[tuple[int, ...]]:
+    """``KINDS`` by places among the rules."""
+    return [tuple(names.index(x) for x in kind) for kind in KINDS]
+
+
+def fit(patterns: list[tuple[tuple, int]], k: int, kinds: list[tuple[int, ...]] | None = None, rounds: int = 500, tolerance: float = 1e-9) -> Voters:
+    """Expectation-maximisation over (votes of k rules, count); ``kinds`` has the rules for each kind, each its own by default.
+
+    The start counts as ``BELIEF`` documents in every round and nothing else holds the estimates.
+    """
+    kinds = [(j,) for j in range(k)] if kinds is None else kinds
+    start = np.array([[START_GOOD] * k, *[[START_SEEN if j in kind else START_OTHER for j in range(k)] for kind in kinds]], float).reshape(len(kinds) + 1, k, 3)
+    first = np.array([START_SHARE, *[(1 - START_SHARE) / len(kinds)] * len(kinds)] if kinds else [1.0])
+    votes = np.zeros((len(patterns), k, 3))
+    for p, (own, _) in enumerate(patterns):
+        for j, v in enumerate(own):
+            votes[p, j, 2 if v is None else v] = 1
+    counts = np.array([n for _, n in patterns], float)
+    share, chance = first, start
     for _ in range(rounds):
-        size = [BELIEF * s for s in shares]
-        seen = [[[BELIEF * x for x in start[c][j]] for j in range(k)] for c in range(k + 1)]
-        for votes, n in patterns:
-            for c, w in enumerate(found.weights(votes)):
-                size[c] += n * w
-                for j, v in enumerate(votes):
-                    seen[c][j][2 if v is None else v] += n * w
-        total = sum(size)
-        for own in seen[0]:
-            own[0] = min(own[0], MOST_WRONG / (1 - MOST_WRONG) * (own[1] + own[2]))
-        new = Voters([s / total for s in size], [[tuple(x / sum(one) for x in one) for one in rule] for rule in seen])
-        moved = max(abs(a - b) for a, b in zip(new.shares, found.shares, strict=True))
-        found = new
+        logs = np.log(share) + np.einsum("pjv,cjv->pc", votes[:, :, :2], np.log(chance[:, :, :2]))
+        parts = np.exp(logs - logs.max(axis=1, keepdims=True))
+        weight = parts / parts.sum(axis=1, keepdims=True) * counts[:, None]
+        size = BELIEF * first + weight.sum(axis=0)
+        seen = BELIEF * start + np.einsum("pc,pjv->cjv", weight, votes)
+        moved, share, chance = np.abs(size / size.sum() - share).max(), size / size.sum(), seen / seen.sum(axis=2, keepdims=True)
         if moved < tolerance:
             break
-    return found
+    return Voters(share.tolist(), [[tuple(rule) for rule in own] for own in chance.tolist()])
 
 
 def posterior_column(found: Voters, names: list[str]) -> Column:
@@ -188,7 +211,7 @@ def judged(measured: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     names = [f"_vote_{k}" for k in rules()]
     voted = measured.select("*", *[v.alias(f"_vote_{k}") for k, v in rules().items()])
     counted = voted.groupBy(*names).count().collect()  # at most 3 to the number of rules rows
-    found = fit([(tuple(r)[:-1], r["count"]) for r in counted], len(names))
+    found = fit([(tuple(r)[:-1], r["count"]) for r in counted], len(names), kinds_of(list(rules())))
     scored = voted.withColumn("posterior", posterior_column(found, names)).withColumn("base_failed", base_failed())
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_from)).drop(*names)
 
