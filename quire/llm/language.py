@@ -27,27 +27,47 @@ from .tokens import by_bytes, strings
 SAMPLE_DOCS, SAMPLE_CHARS = 300, 3000
 #: log2 of the rows of the weight table.
 BITS = 16
-#: Letters of a word that features look at: this many from its front and from its end.
-SIDE = 12
+#: Letters of a word; longer runs of letters are cut into words of this size, so that all of them count.
+WIDTH = 24
 #: Words of a training sequence; share of sequences in one language; passes; L2 weight.
 SEQUENCE, PURE, ROUNDS, L2 = 32, 0.5, 25, 1e-5
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def letters(values: pa.Array) -> pa.Array:
-    """Only the letters of each string, in lower case."""
-    return pc.utf8_lower(pc.replace_substring_regex(values, r"\PL", ""))
+class Words:
+    """The words of texts: ``word`` (numbers into ``vocabulary``, one text after another) and ``doc``, the text of each.
+
+    What letters stand between others is a word, in lower case; apostrophes and combining marks within
+    are left out.  Each distinct piece between blanks is cut once.
+    """
+
+    def __init__(self, texts: pa.Array):
+        cut = pc.utf8_split_whitespace(texts)
+        raw = cut.flatten().dictionary_encode()
+        plain = pc.replace_substring_regex(pc.utf8_lower(raw.dictionary), r"[\pM'’]+", "")
+        plain = pc.replace_substring_regex(pc.replace_substring_regex(plain, r"\PL+", " "), rf"(\pL{{{WIDTH}}})", r"\1 ")
+        parts = pc.utf8_split_whitespace(plain)
+        coded = parts.flatten().dictionary_encode()
+        self.vocabulary = coded.dictionary
+        own = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        filled = ~pc.equal(self.vocabulary, "").to_numpy(zero_copy_only=False)[own] if len(own) else np.zeros(0, bool)
+        first = np.concatenate([[0], np.cumsum(filled)])[np.asarray(parts.offsets, np.int64)]
+        own, size = own[filled], np.diff(first)
+        piece = raw.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        many = size[piece]
+        at = np.repeat(first[piece] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        self.word = own[at]
+        #: Number among all pieces between blanks of the one that each word comes from.
+        self.piece = np.repeat(np.arange(len(piece)), many)
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(np.asarray(cut.offsets, np.int64)))[self.piece]
 
 
 def features(words: pa.Array) -> np.ndarray:
     """(words x features) rows of the weight table; 0 where a word is too short for a feature."""
-    n = len(words)
+    n, width = len(words), WIDTH
     size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    front = pc.utf8_slice_codeunits(words, 0, SIDE)
-    rest = pc.if_else(pc.greater(pc.utf8_length(words), 2 * SIDE), pc.utf8_slice_codeunits(words, -SIDE, None), pc.utf8_slice_codeunits(words, SIDE, None))
-    short = pc.binary_join_element_wise(front, rest, pa.scalar("", words.type)).to_numpy(zero_copy_only=False)
-    width = 2 * SIDE
+    short = words.to_numpy(zero_copy_only=False)
     codes = np.zeros((n, width + 2), np.uint64)
     if n:
         codes[:, 1 : width + 1] = np.array(short, f"U{width}").view(np.uint32).reshape(n, width)
@@ -100,11 +120,12 @@ class Model:
         return out
 
 
-def marginals(emit: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def marginals(emit: np.ndarray, moves: np.ndarray, lengths: np.ndarray, joint: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward over many chains at once; ``emit`` has the chains' words one after another.
 
-    Returns each word's posterior and, by chain, the sum of the posteriors of its neighbouring pairs
-    (chains x languages x languages).
+    Returns each word's posterior and, with ``joint``, the sum of the posteriors of all neighbouring
+    pairs (languages x languages; else zeros).  Chains are summed by one product for each place, so
+    memory doesn't grow with the square of the languages times the chains.
     """
     k = emit.shape[1]
     order = np.argsort(-lengths, kind="stable")
@@ -126,7 +147,7 @@ def marginals(emit: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> tuple
         x = p[here] if s == 0 else (forward[first[s - 1] : first[s - 1] + active[s]] @ a) * p[here]
         forward[here] = x / x.sum(axis=1, keepdims=True)
     backward = np.ones((len(lengths), k), emit.dtype)
-    pairs = np.zeros((len(lengths), k, k), emit.dtype)
+    pairs = np.zeros((k, k), np.float64)
     post = np.empty_like(p)
     for s in range(longest - 1, -1, -1):
         n = active[s]
@@ -136,14 +157,11 @@ def marginals(emit: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> tuple
         if s:
             right = p[here] * backward[:n]
             left = forward[first[s - 1] : first[s - 1] + n]
-            if len(lengths) < 100_000 and k * k * len(lengths) < 5_000_000:
-                joint = left[:, :, None] * a[None] * right[:, None, :]
-                pairs[:n] += joint / joint.sum(axis=(1, 2), keepdims=True)
             y = right @ a.T
+            if joint:
+                pairs += a * ((left / (left * y).sum(axis=1, keepdims=True)).T @ right)
             backward[:n] = y / y.sum(axis=1, keepdims=True)
-    back = np.empty_like(pairs)
-    back[order] = pairs
-    return post[place], back
+    return post[place], pairs
 
 
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
@@ -154,16 +172,11 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros((0, 0), np.float32))
     rnd = np.random.default_rng(seed)
     texts = pa.array([t for t, _ in rows], pa.large_string())
-    cut = pc.utf8_split_whitespace(texts)
-    offsets = np.asarray(cut.offsets, np.int64)
-    coded = letters(cut.flatten()).dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    vocabulary = coded.dictionary
-    blank = pc.equal(vocabulary, "").to_numpy(zero_copy_only=False)
+    cut = Words(texts)
+    vocabulary, ends = cut.vocabulary, np.searchsorted(cut.doc, np.arange(len(rows) + 1))
     by_lang: list[list[np.ndarray]] = [[] for _ in langs]
     for i, (_, lang) in enumerate(rows):
-        own = codes[offsets[i] : offsets[i + 1]]
-        own = own[~blank[own]]
+        own = cut.word[ends[i] : ends[i + 1]]
         if len(own):
             by_lang[langs.index(lang)].append(own)
     streams = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in by_lang]
@@ -195,7 +208,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     right[np.arange(len(word)), gold] = 1
     for _ in range(ROUNDS):
         emit = sum(model.weights[index[:, j]] for j in range(index.shape[1]))
-        post, pairs = marginals(emit[word], model.moves, lengths)
+        post, pairs = marginals(emit[word], model.moves, lengths, joint=True)
         miss = right - post
         by_word = np.stack([np.bincount(word, miss[:, j], len(used)) for j in range(k)], axis=1)
         gradient = np.stack([np.bincount(index.ravel(), np.repeat(by_word[:, j], index.shape[1]), 1 << BITS) for j in range(k)], axis=1)
@@ -203,7 +216,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
         gradient[0] = 0
         squares += gradient**2
         model.weights += 0.3 * gradient / np.sqrt(squares)
-        move = (seen_pairs - pairs.sum(axis=0)) / len(word) - L2 * model.moves
+        move = (seen_pairs - pairs) / len(word) - L2 * model.moves
         move_squares += move**2
         model.moves += (0.3 * move / np.sqrt(move_squares)).astype(np.float32)
     return model
@@ -211,22 +224,12 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """(language, mean posterior) of each text; ``und`` and 0 where no letter is."""
-    n = len(texts)
-    cut = pc.utf8_split_whitespace(texts)
-    offsets = np.asarray(cut.offsets, np.int64)
-    raw = cut.flatten().dictionary_encode()
-    clean = letters(raw.dictionary).dictionary_encode()
-    vocabulary = clean.dictionary
-    to_word = clean.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    word = to_word[raw.indices.to_numpy(zero_copy_only=False)] if len(raw) else np.zeros(0, np.int64)
-    blank = pc.equal(vocabulary, "").to_numpy(zero_copy_only=False) if len(vocabulary) else np.zeros(0, bool)
-    filled = ~blank[word] if len(word) else np.zeros(0, bool)
-    doc = np.repeat(np.arange(n), np.diff(offsets))[filled]
-    lengths = np.bincount(doc, minlength=n)
+    n, cut = len(texts), Words(texts)
+    doc, lengths = cut.doc, np.bincount(cut.doc, minlength=n)
     k = len(model.langs)
     if not k or not len(doc):
         return ["und"] * n, np.zeros(n)
-    post, _ = marginals(model.emissions(vocabulary)[word[filled]], model.moves, lengths)
+    post, _ = marginals(model.emissions(cut.vocabulary)[cut.word], model.moves, lengths)
     sums = np.stack([np.bincount(doc, post[:, j], n) for j in range(k)], axis=1)
     best = sums.argmax(axis=1)
     score = np.clip(sums[np.arange(n), best] / np.maximum(lengths, 1), 0, 1)
@@ -234,14 +237,16 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def label_words(model: Model, text: str) -> list[tuple[str, str, float]]:
-    """(word, language, posterior) for each word of a text that has letters."""
-    raw = text.split()
-    words = letters(pa.array(raw, pa.large_string()))
-    keep = [i for i, w in enumerate(words.to_pylist()) if w]
-    if not keep:
+    """(piece, language, posterior) for each piece between blanks that has letters; its words' mean posterior."""
+    raw, cut = text.split(), Words(pa.array([" ".join(text.split())], pa.large_string()))
+    if not len(cut.word) or not model.langs:
         return []
-    post, _ = marginals(model.emissions(words.take(pa.array(keep))), model.moves, np.array([len(keep)]))
-    return [(raw[i], model.langs[int(p.argmax())], float(p.max())) for i, p in zip(keep, post, strict=True)]
+    post, _ = marginals(model.emissions(cut.vocabulary)[cut.word], model.moves, np.array([len(cut.word)]))
+    found = []
+    for i in np.unique(cut.piece):
+        mean = post[cut.piece == i].mean(axis=0)
+        found.append((raw[i], model.langs[int(mean.argmax())], float(mean.max())))
+    return found
 
 
 def held_out(id_col: str) -> Column:
@@ -254,7 +259,11 @@ def is_held_out(key: int) -> bool:
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """A sample of labelled rows that aren't held out, bounded for each language; by a hash of the id."""
+    """A sample of labelled rows that aren't held out, bounded for each language; by a hash of the id, in its order.
+
+    The languages themselves are classes of the model, of which there must be few enough for a weight
+    table of ``2**BITS`` rows on each executor.
+    """
     labelled = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     counts = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}  # a row for each language
     ticket = F.pmod(F.xxhash64(F.lit("train"), id_col), F.lit(1 << 30))
@@ -262,8 +271,8 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
     for lang, n in counts.items():
         share = F.when(F.col(lang_col) == lang, min(1.0, SAMPLE_DOCS / n)).otherwise(share)
     start = 1 + F.pmod(F.xxhash64(F.lit("start"), id_col), F.greatest(F.lit(1), F.length(text_col) - SAMPLE_CHARS))
-    chosen = labelled.where(ticket < share * (1 << 30)).select(F.substring(F.col(text_col), start, F.lit(SAMPLE_CHARS)), lang_col, ticket)
-    return [(r[0], r[1]) for r in sorted(chosen.limit(2 * SAMPLE_DOCS * max(1, len(counts))).collect(), key=lambda r: (r[2], r[1]))]
+    chosen = labelled.where(ticket < share * (1 << 30)).select(F.substring(F.col(text_col), start, F.lit(SAMPLE_CHARS)).alias("_t"), F.col(lang_col).alias("_l"), ticket.alias("_k"))
+    return [(r[0], r[1]) for r in chosen.orderBy("_k", "_l", "_t").limit(2 * SAMPLE_DOCS * max(1, len(counts))).collect()]
 
 
 def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

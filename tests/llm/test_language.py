@@ -16,8 +16,8 @@ def test_marginals_match_enumeration():
     rnd = np.random.default_rng(1)
     lengths = np.array([3, 1, 0, 4])
     emit, moves = rnd.normal(size=(8, 2)), rnd.normal(size=(2, 2))
-    post, pairs = language.marginals(emit, moves, lengths)
-    at = 0
+    post, pairs = language.marginals(emit, moves, lengths, joint=True)
+    at, want_pairs = 0, np.zeros((2, 2))
     for chain, n in enumerate(lengths):
         want, joint, total = np.zeros((n, 2)), np.zeros((2, 2)), 0.0
         for code in range(2**n):
@@ -29,8 +29,32 @@ def test_marginals_match_enumeration():
             for a, b in zip(path, path[1:], strict=False):
                 joint[a, b] += w
         if n:
-            assert np.allclose(post[at : at + n], want / total) and np.allclose(pairs[chain], joint / total)
+            assert np.allclose(post[at : at + n], want / total)
+            want_pairs += joint / total
         at += n
+    assert np.allclose(pairs, want_pairs)
+
+
+def test_transitions_are_fitted_with_many_languages():
+    rnd = random.Random(9)
+    syllables = [f"{a}{b}" for a in "bcdfghjklmnp" for b in "aeiou"]
+    own = {f"l{k:02d}": rnd.sample(syllables, 4) for k in range(30)}
+    say = lambda lang, n: " ".join("".join(rnd.choice(own[lang]) for _ in range(3)) for _ in range(n))
+    model = language.train([(say(lang, 60), lang) for lang in own for _ in range(20)])
+    off = model.moves[~np.eye(30, dtype=bool)]
+    assert np.isfinite(model.moves).all() and off.mean() < np.diag(model.moves).mean() and np.abs(model.moves).max() < 5
+    asked = [(say(lang, 30), lang) for lang in own]
+    got, _ = language.predict(model, pa.array([t for t, _ in asked], pa.large_string()))
+    assert np.mean([g == lang for g, (_, lang) in zip(got, asked, strict=True)]) > 0.9
+
+
+def test_all_letters_of_a_text_without_blanks_count():
+    rnd = random.Random(4)
+    model = language.train([(sentence(rnd, lang, 80), lang) for lang in VOWELS for _ in range(30)])
+    middle = ",".join(sentence(rnd, "bb", 1).strip(".,") for _ in range(60))
+    assert language.predict(model, pa.array([f"lo,mi,{middle},ka,lo"], pa.large_string()))[0] == ["bb"]
+    joined = "".join(sentence(rnd, "bb", 1).strip(".,") for _ in range(60))
+    assert language.predict(model, pa.array([f"lomitan{joined}kalomi"], pa.large_string()))[0] == ["bb"]
 
 
 def test_held_out_accuracy_and_edges(spark):
