@@ -873,3 +873,193 @@ def restored_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = I.marked_documents(spark, sf_dir)
     rows = marked.select("doc_id", F.col("text").alias("canonical"), F.regexp_replace("text", r"(?m)^\S+ ", "").alias("editor"), F.element_at(F.split("text", "\n\n"), -1).alias("passage"))
     return render.restored_documents(rows, ["doc_id"])
+
+
+# Operators on inputs built from each row, whose results SQL can say by the same rule
+
+
+@query("c5_thinned_sequences", f"SELECT doc_id, n AS source_count, n - n // 10 AS matched, CASE WHEN n = 0 THEN 1.0 ELSE (n - n // 10) / n END AS agreement, n < 10 AS ok FROM (SELECT doc_id, len({I.canonical_sql('text')}) AS n FROM documents)")
+def thinned_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text against itself without every tenth token: a subsequence, so all that is left matches."""
+    tokens = T.canonical_tokens("text")
+    pairs = _docs(spark, sf_dir).select("doc_id", F.array_join(tokens, " ").alias("source"), F.array_join(F.filter(tokens, lambda t, i: i % 10 != 9), " ").alias("output"))
+    return compare.token_sequences(pairs, ["doc_id"]).select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("source_count", "matched")], "agreement", "ok")
+
+
+@query(
+    "c12_thinned_verdicts",
+    rf"""SELECT doc_id, n // 10 AS n_missing, CAST(0 AS BIGINT) AS n_added, n < 10 AS in_order, n < 10 AND lost = 0 AS content_ok FROM (
+      SELECT doc_id, len(t) AS n, len(list_filter(range(1, len(t) + 1), lambda i: i % 10 = 0 AND regexp_full_match(t[i], '\d+'))) AS lost FROM (SELECT doc_id, {I.canonical_sql('text')} AS t FROM documents))""",
+)
+def thinned_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = T.canonical_tokens("text")
+    pairs = _docs(spark, sf_dir).select("doc_id", F.array_join(tokens, " ").alias("source"), F.array_join(F.filter(tokens, lambda t, i: i % 10 != 9), " ").alias("output"))
+    return compare.verify(pairs, ["doc_id"]).select("doc_id", "n_missing", "n_added", "in_order", "content_ok")
+
+
+@query("c6_lost_numbers", "SELECT doc_id, 'diff-1' AS id, '77' || doc_id AS missing, 'Nato nel 77' || doc_id || ' a ' || source || '.' AS source, 'Nato nel a ' || source || '.' AS rendered, CAST(1 AS INT) AS n_places FROM documents")
+def lost_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One number lost in one of two sentences."""
+    pairs = _docs(spark, sf_dir).selectExpr("doc_id", "concat('Prima frase intera. Nato nel 77', doc_id, ' a ', source, '.') AS source", "concat('Prima frase intera. Nato nel a ', source, '.') AS output")
+    return compare.difference_contexts(pairs, ["doc_id"]).select("doc_id", "id", F.array_join("missing", " ").alias("missing"), "source", "rendered", "n_places")
+
+
+def _page_sql(columns: str) -> str:
+    return f"SELECT doc_id, page, block_idx, type, CASE WHEN side = 0 THEN 0.05 ELSE 0.55 END AS xmin, y / 40.0 AS ymin, CASE WHEN side = 0 THEN 0.45 ELSE 0.95 END AS xmax, y / 40.0 + 0.02 AS ymax, concat('t', block_idx) AS text{columns} FROM (SELECT conv_id AS doc_id, 0 AS page, CAST(turn AS INT) AS block_idx, 'Text' AS type, (turn * 7 + conv_id) % 2 AS side, 4 + turn * 5 % 31 AS y FROM conversations WHERE turn < 31)"
+
+
+@query("c1_two_columns", f"SELECT doc_id, block_idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY side, y) - 1 AS INT) AS reading_order FROM ({_page_sql(', side, y')})")
+def two_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of two columns, their blocks in no order: the left column from top to bottom, then the right one."""
+    blocks = spark.sql(_page_sql("").replace("FROM conversations", "FROM {conversations}").replace("CAST(turn AS INT)", "CAST(turn AS INT)"), conversations=I.table(spark, sf_dir, "conversations"))
+    doubles = {c: F.col(c).cast("double") for c in ("xmin", "ymin", "xmax", "ymax")}
+    return layout.order_blocks(blocks.withColumns(doubles)).select("doc_id", "block_idx", "reading_order")
+
+
+_PICTURES = """SELECT doc_id, page, block_idx, type, 0.1D AS xmin, y AS ymin, 0.9D AS xmax, y + 0.02D AS ymax, text FROM (
+  SELECT o_orderkey AS doc_id, 0 AS page, 1 AS block_idx, 'Picture' AS type, 0.3D AS y, '' AS text FROM {orders} UNION ALL
+  SELECT o_orderkey, 0, 2, 'Caption', CASE WHEN o_orderkey % 3 = 0 THEN 0.5D ELSE 0.36D END, concat('Figura ', CAST(o_custkey AS STRING)) FROM {orders} UNION ALL
+  SELECT o_orderkey, 0, 3, 'Text', 0.6D, 'fine della pagina, con un punto.' FROM {orders})"""
+
+
+@query("j5_near_captions", "SELECT o_orderkey AS doc_id, CAST(1 AS INT) AS block_idx, CAST(2 AS INT) AS caption_idx FROM orders WHERE o_orderkey % 3 <> 0")
+def near_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A picture and a caption, near enough on two of three pages."""
+    return layout.captions(spark.sql(_PICTURES, orders=I.table(spark, sf_dir, "orders"))).select("doc_id", "block_idx", "caption_idx")
+
+
+@query(
+    "c2_captioned_pages",
+    """SELECT o_orderkey AS doc_id, '![' || CASE WHEN o_orderkey % 3 <> 0 THEN 'Figura ' || o_custkey ELSE '' END || '](/figures/fig-1.png)' || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || chr(10) || 'Figura ' || o_custkey ELSE '' END || chr(10) || chr(10) || 'fine della pagina, con un punto.' AS markdown FROM orders""",
+)
+def captioned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages put together: a near caption goes into its picture, a far one stays a line."""
+    return layout.assemble_pages(spark.sql(_PICTURES, orders=I.table(spark, sf_dir, "orders"))).select("doc_id", "markdown")
+
+
+@query(
+    "w6_text_lines",
+    "SELECT doc_id, CAST(0 AS INT) AS page, CAST(n AS INT) AS line_no, CAST(10 + n % 3 AS DOUBLE) AS size, array_to_string(w, ' ') AS text FROM (SELECT doc_id, line, n, list_filter(string_split(line, ' '), lambda x: x <> '') AS w FROM "
+    + I.LINES_SQL + " WHERE n < 40) WHERE len(w) > 0 AND regexp_full_match(line, '[^\\t\\r\\f\\v]*')",
+)
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each of a text's first lines as items at their line's height, within the tolerance, dealt in no order."""
+    lines = I.document_lines(spark, sf_dir).where((F.col("n") < 40) & F.col("line").rlike(r"^[^\t\r\f\x0B]*$"))
+    words = lines.select("doc_id", "n", F.posexplode(F.filter(F.split("line", " "), lambda x: x != "")).alias("i", "str"))
+    items = words.select("doc_id", F.lit(0).alias("page"), (F.col("n") * 100_000 + F.col("i")).alias("item_idx"), F.col("i").cast("double").alias("x"), (1000 - F.col("n") * 10 + F.col("i") % 2).cast("double").alias("y"), (10 + F.col("n") % 3 - F.col("i") % 2).cast("double").alias("size"), "str")
+    found = layout.text_lines(items)
+    return found.select("doc_id", "page", F.floor((1001 - F.col("y")) / 10).cast("int").alias("line_no"), "size", "text")
+
+
+@query("c11_repeated_headings", "SELECT doc_id, '= Capo ' || source || chr(10) || 'uno' || chr(10) || chr(10) || 'due' || chr(10) || '== Sotto' || chr(10) || chr(10) || '= Altro' || chr(10) || 'tre' AS text FROM documents")
+def repeated_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of which the second opens with the first one's heading once more."""
+    bodies = "array(concat('= Capo ', source, chr(10), 'uno'), concat('= CAPO  ', source, '.', chr(10), 'due', chr(10), '== Sotto'), concat('== sotto', chr(10), '= Altro', chr(10), 'tre'))"
+    chunked = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.expr(bodies)).alias("chunk_idx", "body"))
+    return structure.combine_documents(chunked)
+
+
+@query("r_rejoined_words", """SELECT doc_id, 'cercando ' || source || ' socio-politico contare che "cer- cando"' AS text, CAST(2 AS INT) AS n_changes FROM documents""")
+def rejoined_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word broken at a line's end, a compound that stays, a fused word, and code that isn't touched."""
+    docs = _docs(spark, sf_dir).selectExpr("doc_id", """concat('cer-', chr(10), 'cando ', source, ' socio-politico contareche "cer- cando"') AS text""")
+    known = spark.createDataFrame([(w,) for w in "cercando socio politico sociopolitico contare che".split()], "word string")
+    return repair.fix_hyphenation(docs, repair.dictionary(known)).select("doc_id", "text", F.size("changes").alias("n_changes"))
+
+
+_PROPOSED = "SELECT DISTINCT word, CASE WHEN length(word) % 3 = 0 THEN left(word, length(word) - 1) WHEN length(word) % 3 = 1 THEN left(word, 3) || ' ' || substr(word, 4) ELSE '' END AS fix FROM (SELECT lower(w) AS word FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{6,}')) AS w FROM documents))"
+
+
+@query(
+    "s_valid_corrections",
+    f"""WITH c AS ({_PROPOSED}), k AS ({_correct_sql(f"SELECT DISTINCT unnest(string_split(fix, ' ')) AS word FROM ({_PROPOSED}) WHERE fix <> ''")})
+    SELECT c.word, c.fix, c.fix <> '' AND coalesce(bool_and(k.correct), FALSE) AS ok FROM (SELECT word, fix, unnest(string_split(fix, ' ')) AS piece FROM c) c LEFT JOIN k ON k.word = c.piece GROUP BY c.word, c.fix""",
+)
+def valid_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with their last letter dropped, parted after three letters, or with no fix at all."""
+    words = _docs(spark, sf_dir).select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("w")).select(F.lower("w").alias("word")).distinct()
+    n = F.length("word")
+    fix = F.when(n % 3 == 0, F.expr("left(word, length(word) - 1)")).when(n % 3 == 1, F.expr("concat(left(word, 3), ' ', substr(word, 4))")).otherwise("")
+    return repair.valid_corrections(words.withColumn("fix", fix), repair.dictionary(_dictionary(spark, sf_dir)))
+
+
+@query("c9_safe_corrections", "SELECT doc_id, doc_id % 4 < 3 AS safe FROM documents")
+def safe_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An accent, a joined word, a function word put in, and a word replaced, which isn't safe."""
+    before = "CASE doc_id % 4 WHEN 0 THEN 'perche lui parla' WHEN 1 THEN 'cer cando bene' WHEN 2 THEN 'lui bene' ELSE 'lui parla bene' END"
+    after = "CASE doc_id % 4 WHEN 0 THEN 'perché lui parla' WHEN 1 THEN 'cercando bene' WHEN 2 THEN 'lui è bene' ELSE 'lui dice bene' END"
+    known = spark.createDataFrame([(w,) for w in "perché lui parla cercando bene dice".split()], "word string")
+    return repair.safe_corrections(_docs(spark, sf_dir).selectExpr("doc_id", f"{before} AS before", f"{after} AS after"), repair.dictionary(known), ["doc_id"])
+
+
+@query("r_converted_formulas", "SELECT doc_id, '= Capo ' || doc_id || chr(10) || '$(frac(' || doc_id || ', ' || source || ')) <=  alpha  + x_(12) thin sqrt(2) diff  f$ \"DejaVu Sans\"' AS text FROM documents")
+def converted_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = r"concat('# Capo ', doc_id, chr(10), '$', chr(92), 'left(', chr(92), 'frac{', doc_id, '}{', source, '}', chr(92), 'right) ', chr(92), 'leq ', chr(92), 'alpha + x_{12}', chr(92), ',', chr(92), 'sqrt{2} ', chr(92), 'partial f$ \"Arial\"')"
+    fixed = render.autofix_documents(_docs(spark, sf_dir).selectExpr("doc_id", f"{source} AS text"))
+    return fixed.select("doc_id", "text")
+
+
+@query(
+    "r_planned_blocks",
+    """SELECT doc_id, '=== Capo *' || source || '*' || chr(10) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '#align(center)[prosa \\#' || doc_id || ']' ELSE 'prosa \\#' || doc_id END || chr(10) || chr(10) || '#table(columns: 2, [*a*], [*b*], [' || doc_id || '], [])' || chr(10) || chr(10)
+      || '- uno' || chr(10) || '- _due_' || chr(10) || chr(10) || '#block[#align(center)[#image("f' || doc_id || '.png", width: 80%)]]' || chr(10) || chr(10) || '// pagina 3' || chr(10) || chr(10) || 'testo#footnote[nota]' AS body FROM documents""",
+)
+def planned_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of block rendered, with a style for every other document and a level for all headings."""
+    nl = "chr(10), chr(10)"
+    text = f"concat('# Capo **', source, '**', {nl}, 'prosa #', doc_id, {nl}, '| a | b |', chr(10), '| --- | --- |', chr(10), '| ', doc_id, ' |', {nl}, '- uno', chr(10), '- *due*', {nl}, '![](f', doc_id, '.png)', {nl}, '<!-- pagina 3 -->', chr(10), 'testo<footnote>nota</footnote>')"
+    docs = _docs(spark, sf_dir).selectExpr("doc_id", f"{text} AS text")
+    styles = docs.where("doc_id % 2 = 0").selectExpr("doc_id", "'b-2' AS id", "'center' AS style")
+    levels = docs.selectExpr("doc_id", "'b-1' AS id", "3 AS level")
+    return render.render_documents(docs, styles, levels)
+
+
+@query("j8_restored_blocks", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '= Capo ' || source || chr(10) || chr(10) || 'uno due tre quattro mio' || chr(10) || chr(10) || 'cinque sei sette otto ' || doc_id END AS restored FROM documents")
+def restored_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last block lost words in the editor and comes back for every other document; others ask for what isn't there."""
+    nl = "chr(10), chr(10)"
+    rows = _docs(spark, sf_dir).selectExpr(
+        "doc_id", f"concat('# Capo ', source, {nl}, 'uno due tre quattro', {nl}, 'cinque sei sette otto ', doc_id) AS canonical",
+        f"concat('= Capo ', source, {nl}, 'uno due tre quattro mio', {nl}, 'cinque sette') AS editor", "CASE WHEN doc_id % 2 = 0 THEN concat('cinque sei sette otto ', doc_id) ELSE 'del tutto altro' END AS passage",
+    )
+    return render.restored_documents(rows, ["doc_id"])
+
+
+@query("s_page_blocks", "SELECT conv_id, turn, CAST(i AS INT) AS block_idx, CASE WHEN i = 0 THEN 'Title' ELSE 'Text' END AS type, CASE WHEN i = 0 THEN 0.25 END AS xmin, CASE WHEN i = 0 THEN 'T' || turn ELSE coalesce(text, '') END AS text FROM (SELECT conv_id, turn, text, unnest([0, 1]) AS i FROM conversations)")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with two blocks each, the second without a box, as the arguments of a tool call."""
+    box = F.struct(*[F.lit(v).alias(n) for n, v in (("xmin", 0.25), ("ymin", 0.1), ("xmax", 0.75), ("ymax", 0.2))])
+    none = F.lit(None).cast("struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+    block = lambda kind, b, text: F.struct(F.lit(kind).alias("type"), b.alias("bbox"), text.alias("text"))
+    blocks = F.to_json(F.array(block("Title", box, F.concat(F.lit("T"), F.col("turn"))), block("Text", none, F.coalesce("text", F.lit("")))))
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.struct(blocks.alias("arguments")).alias("function"))).alias("tool_calls")).alias("message"))).alias("choices")))
+    answers = I.table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("body"))
+    return responses.page_blocks(answers, ["conv_id", "turn"]).select("conv_id", "turn", "block_idx", "type", "xmin", "text")
+
+
+@query("f_image_sizes", "SELECT doc_id, CAST(doc_id % 5000 + 1 AS INT) AS width, CAST(n_chars % 4000 + 1 AS INT) AS height FROM documents")
+def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first bytes of PNG files with sizes by each row's numbers."""
+    head = "unhex(concat('89504E470D0A1A0A0000000D49484452', lpad(hex(CAST(doc_id % 5000 + 1 AS BIGINT)), 8, '0'), lpad(hex(CAST(n_chars % 4000 + 1 AS BIGINT)), 8, '0'), '0806000000'))"
+    return files.with_image_size(_docs(spark, sf_dir).selectExpr("doc_id", f"{head} AS content")).select("doc_id", "width", "height")
+
+
+@query("f_subsequence", f"SELECT doc_id, len({I.canonical_sql('text')}) < 2 OR doc_id % 2 = 0 AS value FROM documents")
+def subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second token of a text stands in it in order; behind a token that nothing has, it doesn't."""
+    tokens = T.canonical_tokens("text")
+    some = F.filter(tokens, lambda t, i: i % 2 == 1)
+    asked = F.when((F.col("doc_id") % 2 == 0) | (F.size(some) == 0), some).otherwise(F.concat(F.array(F.lit("§")), some))
+    return _docs(spark, sf_dir).select("doc_id", T.is_subsequence(asked, tokens).alias("value"))
+
+
+@query("f_flexible_match", "SELECT doc_id, CAST(length(source) + 1 AS INT) AS at, CAST(11 AS INT) AS size FROM documents")
+def flexible_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _docs(spark, sf_dir).select("doc_id", T.flexible_match(F.concat("source", F.lit(" alfa \n beta gamma")), F.lit("alfa beta")).alias("m"))
+    return found.select("doc_id", F.col("m.index").cast("int").alias("at"), F.col("m.length").cast("int").alias("size"))
+
+
+@query("f_soft_hyphens", "SELECT doc_id, coalesce(text, '') || ' cercando indian stato' AS value FROM documents")
+def soft_hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" cer­cercando in­dian sta­to"))
+    return _docs(spark, sf_dir).select("doc_id", T.normalize_soft_hyphens(text).alias("value"))
