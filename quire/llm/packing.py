@@ -21,7 +21,7 @@ from .shared import written
 from .tokens import by_bytes, encoder, strings, tokenizer_path
 
 #: Parts into which the pieces of one length are dealt while they are ranked.
-RANK_PARTS = 1024
+RANK_PARTS, PART_ROWS = 1024, 1_000_000
 
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -132,7 +132,8 @@ def pack_pieces(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to a stored table of pieces (column ``length``, 1 to ``capacity``)."""
     spark = cut.sparkSession
     keys = [c for c in cut.columns if c != "length"]
-    part = F.pmod(F.xxhash64(*keys), F.lit(RANK_PARTS)).cast("int")
+    parts = max(RANK_PARTS, cut.count() // PART_ROWS)  # the count is read from the files' footers
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
     ranked = cut.withColumn("_part", part).withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_part").orderBy(*keys)) - 1)
     sums = written(cut.groupBy("length", part.alias("_part")).agg(F.count("*").alias("_n")), "pack-counts")
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
