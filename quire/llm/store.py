@@ -17,14 +17,15 @@ from __future__ import annotations
 
 import json
 import re
-import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .tokens import by_bytes, encoder, strings, tokenizer_path
 
@@ -183,12 +184,14 @@ MANIFEST = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", p
 def write_store(docs: DataFrame, path: str, name: str = "byte_bpe_50k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Writes all documents by ascending key; returns the manifest, a short row for each shard.
 
-    Keys are cast to long.  Documents without a key come first and can be scanned, not looked up;
+    Keys are whole numbers: other types raise a TypeError.  Documents without a key come first and can be scanned, not looked up;
     documents that share a key lie side by side, by text, and a lookup gives them all.  Null text
     counts as empty.  Other columns are left out; an empty table gives a store without documents.
     """
     from pyspark import TaskContext
 
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers")
     spark = docs.sparkSession
     folder = _qualified(spark, path)
 
@@ -219,13 +222,15 @@ def manifest(spark: SparkSession, path: str) -> list[dict]:
 
 
 def lookup(spark: SparkSession, path: str, key: int) -> list[list[int]]:
-    """The ids of the documents with this key, by the index of the shards whose range holds it."""
+    """The ids of the documents with this key, by the index of the shards whose range holds it, which bisection finds."""
     folder, out = _qualified(spark, path), []
-    for r in manifest(spark, path):
-        if r["least"] is not None and r["least"] <= key <= r["most"]:
-            shard = Shard(f"{folder}/{r['file']}")
-            out += [x.tolist() for x in shard.get(key)]
-            shard.close()
+    rows = [r for r in manifest(spark, path) if r["least"] is not None]
+    for r in rows[bisect_left(rows, key, key=lambda r: r["most"]) :]:
+        if r["least"] > key:
+            break
+        shard = Shard(f"{folder}/{r['file']}")
+        out += [x.tolist() for x in shard.get(key)]
+        shard.close()
     return out
 
 
@@ -255,20 +260,17 @@ def _read_shard(uri: str, base: int) -> Iterator[pa.RecordBatch]:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of a store ``doc_id, start, n_tokens, ids_crc32``, each found through the index."""
-    rows, folder = manifest(spark, path), _qualified(spark, path)
-    shards = {k: (r["file"], r["start"]) for k, r in enumerate(rows)}
+    """Per document of a store ``doc_id, start, n_tokens, ids_crc32``.
+
+    A shard is read in order, by its documents' ends, and every key is looked up in its index beside; an
+    index that gives other documents is an error.  Each task gets the names of its own shards.
+    """
+    folder = _qualified(spark, path)
+    shards = [(r["file"], r["start"]) for r in manifest(spark, path)]
 
     def run(batches):
         for b in batches:
-            for k in b.column(0).to_pylist():
-                yield from _read_shard(f"{folder}/{shards[k][0]}", shards[k][1])
-
-    return spark.range(0, len(rows), 1, max(1, len(rows))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
+            for file, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield from _read_shard(f"{folder}/{file}", start)
 
-def fresh_store(docs: DataFrame, root: str, **options) -> str:
-    """Writes a store under a new name below ``root`` and returns its path."""
-    path = f"{root}/store-{uuid.uuid4().hex}"
-    write_store(docs, path, **options)
-    return path
+    return spark.createDataFrame(shards, "file string, start long").repartition(max(1, len(shards))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
