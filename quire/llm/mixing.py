@@ -65,6 +65,9 @@ def profile(text_col: str, known: Column | None = None) -> Column:
 def word_table(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, domain_col: str) -> tuple[list[str], list[str], list[list[float]]]:
     """Bernoulli naive Bayes over a lexicon, from at most ``SAMPLE_LABELS`` labelled documents.
 
+    Tokens in fewer than ``LEAST_DOCS`` labelled documents tell nothing, so a labelled table with less
+    than that leaves the domains' shares as the posteriors of all texts.
+
     Returns domains, the lexicon's tokens, and by domain a weight for each of them, with the weight of
     a text without any in front.  The lexicon holds what deviates most from an even spread over domains.
     """

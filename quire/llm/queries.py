@@ -23,6 +23,7 @@ def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, posteriors by labelled domain and fitted rate of every document; edges as in :func:`mixing.mix`."""
     return mixing.mix(table(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), MIX_WEIGHTS)
 
 
@@ -35,40 +36,49 @@ WINDOW g AS (PARTITION BY t)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its text that stays (the largest id), null text as empty; edges as in :func:`exact.exact_groups`."""
     return exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base verdict and posterior verdict of every document; null text has no words and fails; edges as in :func:`quality.quality`."""
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and place; null text is one separator; edges as in :func:`packing.pack`."""
     return packing.pack(table(spark, sf_dir, "documents"), 2048, 0, "byte_bpe_50k.json")
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as it is read back from a freshly written store; null text is the end id alone; edges as in :func:`store.write_store`."""
     path = new_path(spark, "token-store")
     store.write_store(table(spark, sf_dir, "documents"), path, "byte_bpe_50k.json", 2)
     return store.read_store(spark, path)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, null text as empty; edges as in :func:`tokens.token_counts`."""
     return tokens.token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 512)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest id that it is linked to, itself if with none; edges as in :func:`neardup.near_groups`."""
     return neardup.near_groups(table(spark, sf_dir, "documents"))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, empty for null html; edges as in :func:`html.extract`."""
     return html.extract(table(spark, sf_dir, "pages"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the personal data in every document, none for null text; edges as in :func:`pii.pii_spans`."""
     return pii.digest(pii.pii_spans(table(spark, sf_dir, "documents")))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, ``und`` without letters; edges as in :func:`language.languages`."""
     return language.languages(table(spark, sf_dir, "documents"))
 
 

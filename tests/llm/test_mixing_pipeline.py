@@ -101,3 +101,39 @@ def test_pipeline_on_planted_rows(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(range(40))
     assert {"piece", "start", "length", "sequence_id", "offset"} <= set(out[0].asDict())
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_posteriors_and_rates_match_a_plain_version(tables):
+    """Naive Bayes over the same lexicon, and rates that meet the targets with the least change, by arrays."""
+    import math
+
+    import numpy as np
+
+    docs, labels, _ = tables
+    docs = docs.where("doc_id < 900")
+    domains, lexicon, weights = mixing.word_table(docs, labels, "doc_id", "text", "domain")
+    rows = docs.select("text", mixing.profile("text")["found"].alias("f")).collect()
+    members = mixing.membership(docs, (domains, lexicon, weights), "text", _text=docs["text"]).collect()
+    want = {}
+    for r in rows:
+        odds = [w[0] + sum(w[1 + lexicon.index(x)] for x in r.f if x in lexicon) for w in weights]
+        e = [math.exp(v - max(odds)) for v in odds]
+        want[r.text] = [v / sum(e) for v in e]
+    for m in members:
+        assert list(m.p) == pytest.approx(want[m["_text"]], abs=1e-6)
+    shares = {"good": 0.5, "toxic": 0.1, "poor": 0.4}
+    rate = np.array([r.rate for r in mixing.mix(docs, labels, shares).collect()])
+    t, p = np.array([m.tokens for m in members], float), np.array([m.p for m in members])
+    plain = np.ones(len(t))
+    target = np.array([shares[d] for d in domains]) * t.sum()
+    for _ in range(200):
+        free = plain > 0
+        gram = (p[free] * t[free, None]).T @ p[free]
+        plain = np.maximum(0, plain - p @ np.linalg.solve(gram + 1e-9 * np.eye(len(domains)) * gram.max(), p.T @ (t * plain) - target))
+    assert sorted(rate) == pytest.approx(sorted(plain), abs=1e-3)
