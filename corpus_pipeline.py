@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: the stages of a training corpus, each by an operator of quire.llm.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and its result is
-written and read again before the next.  All but the last return the columns of ``documents``.
+written and read again before the next.  All but the last return the columns of ``documents``.  An
+empty table gives an empty result in every stage, and so does the whole pipeline.
 """
 
 from __future__ import annotations
@@ -16,30 +17,34 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules reject, or that the rules together find poor, go."""
+    """Documents that the base rules reject, or that the rules together find poor, go.
+
+    Null and empty texts have no words and go; null ids and repeated rows are judged like any other.
+    """
     return quality.good_documents(docs).select(*COLUMNS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest id stays."""
+    """Of equal texts the one with the smallest id stays; a null id counts as the smallest, and of rows repeated in full one stays."""
     return exact.drop_copies(docs).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of near-duplicates the document with the smallest id stays; texts without words and rows without an id stay."""
     return neardup.drop_near_copies(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Domains that lack tokens for their target weights gain copies, toxic and poor ones with too many lose documents.
 
-    A document that is good by its likeliest domain is never lost.
+    A document that is good by its likeliest domain is never lost.  Null and empty texts count no tokens
+    and are dealt with by the labels' shares; without labels all documents stay once.
     """
     return mixing.resample(docs, labelled_domains(spark, sf_dir), MIX_WEIGHTS, clean="good").select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequence and place in it."""
+    """Pieces of all documents with their sequence and place in it; a null or empty text is one separator."""
     return packing.pack(docs)
 
 
