@@ -59,13 +59,30 @@ def _delete_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: The folders that this driver made, in order, until they are released.
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared folder, removed when this driver ends."""
+    """A fresh folder name below the shared folder, removed when this driver ends or by :func:`release`."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     atexit.register(_delete_quietly, spark, path)
     return path
 
 
+def made() -> int:
+    """How many folders there are by now: where :func:`release` begins."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Deletes the folders made since then but for the last one, which holds a result that needs the others no more."""
+    for path in _MADE[since:-1]:
+        _delete_quietly(spark, path)
+    del _MADE[since:-1]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives lost executors."""
     spark = df.sparkSession

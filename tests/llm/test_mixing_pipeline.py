@@ -1,9 +1,10 @@
+import os
 import random
 
 import pytest
 
 import corpus_pipeline
-from quire.llm import mixing
+from quire.llm import mixing, shared
 
 WORDS = {"good": "river stone letter morning window garden".split(), "toxic": "river stone idiot moron clown worthless".split(), "poor": "x*** y### z$$$ w%%% v&&& u***".split()}
 
@@ -78,6 +79,10 @@ def test_edges(tables):
     docs, labels, _ = tables
     assert {r.rate for r in mixing.mix(docs, labels.limit(0), {"good": 1.0}).collect()} == {1.0}
     assert mixing.mix(docs.limit(0), labels, {"good": 1.0}).count() == 0
+    few = labels.where("doc_id < 8 AND domain IS NOT NULL")  # too few for any token to count: shares alone
+    shares = {r.domain: r["count"] for r in few.groupBy("domain").count().collect()}
+    for r in mixing.mix(docs, few, {"good": 1.0}).collect():
+        assert all(r[f"p_{d}"] == pytest.approx(n / sum(shares.values())) for d, n in shares.items())
     assert mixing.resample(docs.limit(0), labels, {"good": 1.0}).count() == 0
 
 
@@ -98,7 +103,11 @@ def test_pipeline_on_planted_rows(spark, tmp_path):
     spark.createDataFrame([(i, int(i < 300), 0) for i in [*range(0, 40, 2), 300, 301]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+    root = shared.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before}
+    assert "mix_sources" in left and not left & {"quality_rules", "exact_dedup", "near_dedup", "membership", "minhash"}
     assert {r.doc_id for r in out} == set(range(40))
     assert {"piece", "start", "length", "sequence_id", "offset"} <= set(out[0].asDict())
 
