@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import exact, mixing, neardup, packing, quality
 from quire.llm.queries import MIX_WEIGHTS, labelled_domains
-from quire.llm.shared import table, written
+from quire.llm.shared import made, release, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -61,8 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; the result of each but the last is stored."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``; the result of each but the last is stored.
+
+    Once a stage's result is stored, the one before it and the stage's own tables are deleted.
+    """
+    docs, since = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        release(spark, since)
     return STAGES[-1][1](spark, docs, sf_dir)
