@@ -143,11 +143,15 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
         added += [("ssn", m.start(), m.end()) for m in _SSN.finditer(text)]
         added += [("local_phone", m.start(), m.end()) for m in _LOCAL_PHONE.finditer(text)]
     out = [(*s, score(text, s)) for s in base]
-    taken = [(k, a, z) for k, a, z in base]
-    for s in added:
-        if all(s[2] <= a or z <= s[1] or (s[0], k) == ("iban", "card") for k, a, z in taken) and (sure := score(text, s)) >= THRESHOLD:
-            out.append((*s, sure))
-            taken.append(s)
+    if added:  # taken places as marks, one for each character, so that each span is looked at once
+        taken, cards_at = bytearray(len(text)), bytearray(len(text))
+        for kind, start, end in base:
+            (cards_at if kind == "card" else taken)[start:end] = b"\1" * (end - start)
+        for s in added:
+            free = taken.find(1, s[1], s[2]) < 0 and (s[0] == "iban" or cards_at.find(1, s[1], s[2]) < 0)
+            if free and (sure := score(text, s)) >= THRESHOLD:
+                out.append((*s, sure))
+                taken[s[1] : s[2]] = b"\1" * (s[2] - s[1])
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
