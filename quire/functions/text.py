@@ -51,15 +51,19 @@ def fold(c: Column | str, form: str = "NFKD") -> Column:
 
     A text of one byte for each character has none.
     """
-    text, (one, to, _) = col(c), _fold_table(form)
+    one, to, _ = _fold_table(form)
     if form == "NFKD":
         digits = "⁰⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉"
         one, to = one + digits, to + "04567890123456789"
-    out = F.translate(text, one, to)
-    if form == "NFKD":
-        for ligature, letters in LIGATURES.items():
-            out = F.replace(out, F.lit(ligature), F.lit(letters))
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(out, r"\p{M}+", ""))
+
+    def folded(text: Column) -> Column:
+        out = F.translate(text, one, to)
+        if form == "NFKD":
+            for ligature, letters in LIGATURES.items():
+                out = F.replace(out, F.lit(ligature), F.lit(letters))
+        return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(out, r"\p{M}+", ""))
+
+    return let(col(c), folded)
 
 
 def canonical_tokens(c: Column | str) -> Column:
