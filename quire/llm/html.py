@@ -18,6 +18,7 @@ counts, aggregated by host, path and feature, of which a page meets the rows tha
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 from itertools import accumulate
 
@@ -65,6 +66,7 @@ ENDS = {
     "option": ("option",), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody"),
 }
 ENDS_P = BLOCK - frozenset("body html caption td th tr tbody thead tfoot option optgroup legend summary".split())
+_P_WALLS, _LIST_WALLS = ENDS_P - {"p"}, frozenset(("ul", "ol", "dl", "table", "select"))
 #: Elements that end tags and implied ends inside don't reach beyond.
 WALLS = frozenset("article main body table td th".split())
 
@@ -110,6 +112,19 @@ def named(tag: str, attrs: dict[str, str], in_article: bool) -> tuple[float, boo
     return (1.0 if words.isdisjoint(AROUND_WORDS) else DOUBTFUL if in_article else 0.0), False
 
 
+@lru_cache(maxsize=1 << 14)
+def tag_of(tag: str, source: str, in_article: bool) -> tuple[str, bool, int, float, bool]:
+    """Class, whether unseen, zone that it opens (2 article, 1 main), and what :func:`named` says, of a start tag."""
+    attrs = attributes(source) if source and not source.isspace() else {}
+    zone = 2 if tag == "article" else 1 if tag == "main" or attrs.get("role") == "main" else 0
+    return attrs.get("class", ""), unseen(tag, attrs), zone, *named(tag, attrs, in_article)
+
+
+@lru_cache(maxsize=1 << 16)
+def path_of(parent: int, tag: str, name: str) -> int:
+    return _signed(xxhash.xxh64_intdigest(f"{tag}.{name}", seed=parent & (2**64 - 1)))
+
+
 class Page:
     """One pass over a page: its block elements as nodes in page order, and the text blocks inside them."""
 
@@ -215,9 +230,9 @@ class Page:
 
     def _start(self, tag: str, source: str) -> None:
         if tag in ENDS_P:
-            self._imply(("p",), ENDS_P - {"p"})
+            self._imply(("p",), _P_WALLS)
         if tag in ENDS:
-            self._imply(ENDS[tag], frozenset(("ul", "ol", "dl", "table", "select")))
+            self._imply(ENDS[tag], _LIST_WALLS)
         _, hidden, node = self._open[-1]
         if not hidden:
             if tag in BLOCK:
@@ -229,17 +244,16 @@ class Page:
         if hidden:
             self._open.append((tag, True, node))
             return
-        attrs = attributes(source) if source and not source.isspace() else {}
+        read = tag_of if len(source or "") < 500 else tag_of.__wrapped__  # long attributes aren't held
+        name, hide, zone, left, firm = read(tag, source or "", self.zone[node] > 0)
         self.style[node].append(tag)
-        if unseen(tag, attrs):
+        if hide:
             self._open.append((tag, True, node))
             return
-        zone = max(self.zone[node], 2 if tag == "article" else 1 if tag == "main" or attrs.get("role") == "main" else 0)
-        left, firm = named(tag, attrs, self.zone[node] > 0)
         if tag in BLOCK or left < 1:
             self.parent.append(node)
-            self.path.append(_signed(xxhash.xxh64_intdigest(f"{tag}.{attrs.get('class', '')}", seed=self.path[node] & (2**64 - 1))))
-            self.zone.append(zone)
+            self.path.append(path_of(self.path[node], tag, name))
+            self.zone.append(max(self.zone[node], zone))
             self.name.append(left)
             self.firm.append(firm)
             self.style.append([])
