@@ -112,7 +112,8 @@ def shingles(words: Column, size: int = 3) -> Column:
     none = F.expr("cast(array() as array<string>)")
 
     def runs(w: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
+        run = lambda x, i: F.concat(x, *[part for k in range(1, size) for part in (F.lit(" "), F.get(w, i + k))])
+        each = F.transform(F.slice(w, 1, F.greatest(F.size(w) - size + 1, F.lit(0))), run)
         return F.when(F.size(w) >= size, F.array_distinct(each)).otherwise(none)
 
     return let(words, runs)
