@@ -26,7 +26,7 @@ from pyspark.sql.types import IntegralType
 
 from .components import components
 from .shared import free_name, written
-from .tokens import CACHE_UNITS, Recent, by_bytes, strings
+from .tokens import by_bytes, strings
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -55,7 +55,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_HASHES = Recent(xxhash.xxh64_intdigest, CACHE_UNITS)
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_HASHES = _WordHashes()
 
 
 def words_of(text: str) -> list[bytes]:

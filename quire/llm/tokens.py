@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that are cut at once inside a task.
-BATCH_BYTES = 4 << 20
-#: Distinct cuts that a Python worker remembers of late, and as many from before; longer ones aren't remembered.
-CACHE_UNITS, CACHE_CHARS = 100_000, 64
+BATCH_BYTES = 16 << 20
+#: Distinct cuts whose ids a Python worker remembers before it starts afresh.
+CACHE_UNITS = 1_000_000
 
 _WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _LONG_SPACES = rf"{_WHITE}{{3}}|{_WHITE}{{2}}\z"
@@ -37,30 +37,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class Recent(dict):
-    """What ``make`` gave for each key, remembered within bounds: a worker outlives its tasks, and so does this.
-
-    At most ``most`` keys are held, and as many that were held before these; what is asked for again
-    among the latter is held anew.  Keys longer than ``CACHE_CHARS`` aren't held.
-    """
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most, self.before = make, most, {}
-
-    def __missing__(self, key):
-        made = self.before.get(key)
-        if made is None:
-            made = self.make(key)
-            if len(key) > CACHE_CHARS:
-                return made
-        if len(self) >= self.most:
-            self.before = dict(self)
-            self.clear()
-        self[key] = made
-        return made
-
-
 def _str_list(values: pa.Array) -> list[str]:
     return values.to_numpy(zero_copy_only=False).tolist()
 
@@ -77,7 +53,7 @@ class UnitEncoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.specials = [t.content for t in added]
-        self.seen = Recent(self._unit, CACHE_UNITS)
+        self.seen: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
     def _piece(self, word: str) -> bytes:
@@ -107,8 +83,16 @@ class UnitEncoder:
         return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _table(self, units: list[str], prefix: str) -> list[bytes]:
-        seen = self.seen
-        return [seen[u if u[:1] == "\n" else prefix + u] for u in units]
+        seen, out = self.seen, []
+        for u in units:
+            key = u if u[:1] == "\n" else prefix + u
+            ids = seen.get(key)
+            if ids is None:
+                if len(seen) >= CACHE_UNITS:
+                    seen.clear()
+                ids = seen[key] = self._unit(key)
+            out.append(ids)
+        return out
 
     def _cut(self, texts: pa.Array) -> pa.Array:
         """Per text the list of its units; those after the first that don't begin with a newline lack their space."""
